@@ -58,20 +58,23 @@ def read_sam(spark: SparkSession, path: str, header: Header | None = None) -> tu
     """(alignments, header). A record of a sequence that the header lacks is an error when it is read."""
     header = header or read_header(spark, path)
     lines = spark.read.text(path).select("value", input_order().alias("ord")).where(~F.col("value").rlike(_HEADER_LINE) & (F.col("value") != ""))
+    # get and try_cast: a filter may be evaluated before header lines are gone
     f = F.split("value", "\t")
+    text = lambda k: F.get(f, F.lit(k))
+    number = lambda k, kind: text(k).try_cast(kind)
     rows = lines.select(
         "ord",
-        f[0].alias("qname"),
-        f[1].cast("int").alias("flag"),
-        f[2].alias("rname"),
-        (f[3].cast("bigint") - 1).alias("pos0"),
-        f[4].cast("int").alias("mapq"),
-        f[5].alias("cigar"),
-        f[6].alias("rnext"),
-        f[7].cast("bigint").alias("pnext"),
-        f[8].cast("bigint").alias("tlen"),
-        f[9].alias("seq"),
-        f[10].alias("qual"),
+        text(0).alias("qname"),
+        number(1, "int").alias("flag"),
+        text(2).alias("rname"),
+        (number(3, "bigint") - 1).alias("pos0"),
+        number(4, "int").alias("mapq"),
+        text(5).alias("cigar"),
+        text(6).alias("rnext"),
+        number(7, "bigint").alias("pnext"),
+        number(8, "bigint").alias("tlen"),
+        text(9).alias("seq"),
+        text(10).alias("qual"),
         F.slice(f, 12, 1 << 30).alias("tags"),
     )
     named = refs_frame(spark, header).select(F.col("tid").alias("_tid"), F.col("rname").alias("_name"))
