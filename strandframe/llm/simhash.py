@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame, spec: Spec = QUERY) -> DataFrame:
 
 def _bits(rows: np.ndarray) -> np.ndarray:
     """(n, k) signed longs as (n, 64 k) bits."""
-    return np.unpackbits(np.ascontiguousarray(rows.astype("<i8")).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+    return np.unpackbits(np.ascontiguousarray(rows.astype("<i8")).view(np.uint8).reshape(len(rows), 8 * rows.shape[1]), axis=1, bitorder="little")
 
 
 def group_bits(bits: np.ndarray, partitions: int) -> list[list[int]]:
