@@ -97,8 +97,8 @@ def aligned_blocks() -> Column:
     start = F.struct(F.col("pos0").cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("blocks"))
 
     def step(acc: Column, op: Column) -> Column:
-        end = acc["at"] + F.regexp_extract(op, r"\d+", 0).cast("bigint")
+        end = acc["at"] + F.left(op, F.length(op) - 1).cast("bigint")
         block = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(op.rlike("[M=X]"), F.concat(acc["blocks"], block)).otherwise(acc["blocks"]).alias("blocks"))
+        return F.struct(end.alias("at"), F.when(F.right(op, F.lit(1)).isin("M", "=", "X"), F.concat(acc["blocks"], block)).otherwise(acc["blocks"]).alias("blocks"))
 
     return F.aggregate(ops, start, step)["blocks"]
