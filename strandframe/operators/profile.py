@@ -71,7 +71,7 @@ def insert_classes(df: DataFrame, feature_map: DataFrame | None = None) -> DataF
     """fids (sorted, distinct features of an insert) and n (inserts that have them). A record counts if it has a target."""
     rows = df.where("tid is not null").select("qname", F.col("tid"))
     rows = rows.select("qname", F.col("tid").cast("bigint").alias("fid")) if feature_map is None else rows.join(feature_map, "tid").select("qname", "fid")
-    inserts = rows.groupBy("qname").agg(F.array_sort(F.collect_set("fid")).alias("fids"))
+    inserts = rows.groupBy("qname").agg(F.sort_array(F.collect_set("fid")).alias("fids"))
     return inserts.groupBy("fids").agg(F.count("*").alias("n"))
 
 
