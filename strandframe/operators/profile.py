@@ -6,6 +6,7 @@ read) works on classes of inserts with their counts, which a second, pre-aggrega
 
 from __future__ import annotations
 
+import tempfile
 import warnings
 from dataclasses import dataclass
 
@@ -111,6 +112,12 @@ def share_in_memory(class_of: np.ndarray, fid: np.ndarray, n: np.ndarray, unique
     return a, purged, step
 
 
+def _checkpoint_folder(spark) -> None:
+    """Uses the folder of spark.checkpoint.dir; where there is none (one machine), sets one."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandframe-"))
+
+
 def proportional_shares(classes: DataFrame, features: int, driver_pairs: int = DRIVER_PAIRS) -> tuple[DataFrame, float, int]:
     """fid, value; purged inserts; steps. Iterates until the mean squared change is small or MAX_STEPS are done."""
     spark = classes.sparkSession
@@ -131,6 +138,7 @@ def proportional_shares(classes: DataFrame, features: int, driver_pairs: int = D
         import pandas as pd
 
         return spark.createDataFrame(pd.DataFrame({"fid": names.astype(np.int64), "value": a}), schema), purged, steps
+    _checkpoint_folder(spark)
     exploded = shared.withColumn("cid", F.xxhash64("fids", F.lit(1))).withColumn("cid2", F.xxhash64("fids", F.lit(2))).select("cid", "cid2", "n", F.explode("fids").alias("fid")).checkpoint()
     base = unique.checkpoint()
     a = base
