@@ -168,19 +168,25 @@ def group_bits(bits: np.ndarray, partitions: int) -> list[list[int]]:
     return out
 
 
-def expected(bits: np.ndarray, group: list[int], most: int) -> list[float]:
-    """For thresholds 0 to most: the share of pairs that agree on the group's bits but for so many.
+def expected(bits: np.ndarray, group: list[int], most: int, rows: int) -> tuple[list[float], float]:
+    """(for thresholds 0 to most, the share of pairs that are joined as candidates; the share of rows with a hot value).
 
-    Counted over pairs of the sample; at least what independent bits would give.
+    Counted over the sample; at least what independent bits would give. Rows whose value more than HOT of
+    all rows seem to share aren't joined, so their pairs don't count.
     """
     w = len(group)
     chance = np.cumsum([math.comb(w, t) * 0.5**w for t in range(most + 1)])
-    x = bits[: min(len(bits), 1024)][:, group].astype(np.float32)
-    if len(x) < 2:
-        return chance.tolist()
+    if len(bits) < 2:
+        return chance.tolist(), 0.0
+    key = bits[:, group].astype(np.int64) @ (np.int64(1) << np.arange(w, dtype=np.int64))
+    _, value, times = np.unique(key, return_inverse=True, return_counts=True)
+    hot = (times[value] - 1) * (rows / len(bits)) > HOT
+    few = min(len(bits), 1024)
+    x = bits[:few][~hot[:few]][:, group].astype(np.float32)
     differ = x @ (1 - x).T
     differ = np.rint(differ + differ.T)[np.triu_indices(len(x), 1)]
-    return [max(float((differ <= t).mean()), float(c)) for t, c in enumerate(chance)]
+    pairs = few * (few - 1) / 2
+    return [max(float((differ <= t).sum() / pairs), float(c)) for t, c in enumerate(chance)], float(hot.mean())
 
 
 def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
@@ -209,8 +215,8 @@ def plan(bits: np.ndarray, rows: int, spec: Spec) -> tuple[list[list[int]], list
         most = min(spec.distance, 3)
         costs = []
         for g in groups:
-            share = expected(bits, g, most)
-            costs.append([0.0] + [rows * sum(math.comb(len(g), k) for k in range(t + 1)) + rows * rows * share[t] for t in range(most + 1)])
+            share, hot = expected(bits, g, most, rows)
+            costs.append([0.0] + [rows * sum(math.comb(len(g), k) for k in range(t + 1)) + rows * rows * share[t] + 65 * hot * rows for t in range(most + 1)])
         cost, chosen = allocate(costs, spec.distance - m + 1)
         if cost < best[0]:
             best = (cost, groups, chosen)
