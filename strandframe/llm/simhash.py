@@ -10,8 +10,8 @@ fingerprint probes every value within a partition's threshold; what it meets is
 A value that more than HOT fingerprints share isn't joined. Its members take another exact way:
 * 64 bits, distance 2: two fingerprints are linked just if some value is within one bit of both. Each
   member gives its 65 such values; a value has 65 members at most, and a star over them links all.
-* otherwise: the members meet in blocks of BLOCK, block against block, and only the links that join
-  two sets leave a task.
+* otherwise: the members are compared with one of them, the leader. Those that link to it are one set;
+  the rest meet all members in blocks of BLOCK, and only the links that join two sets leave a task.
 
 Components come from alternating large and small stars, cut by written tables. No pair list of a
 group is made, and only a sample of fingerprints (SAMPLE) reaches the driver.
@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm import common
@@ -43,7 +43,7 @@ from strandframe.llm.tokens import in_slices
 #: Fingerprints that the driver sees, to group bits and estimate candidates.
 SAMPLE = 2048
 HOT = 64
-BLOCK = 2048
+BLOCK = 512
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -89,7 +89,7 @@ class Spec:
 
     probe: fingerprints of 64 bits that are searched; check: those that are verified (0: the searched
     ones). distance: differing bits that the search can't miss; most: differing bits, of those
-    verified, that link. width: bits of a partition, about (None: left to the estimate).
+    verified, that link.
     """
 
     shingle: int = 3
@@ -258,16 +258,24 @@ def _star(hot: DataFrame, name: str) -> DataFrame:
     return shared.where(F.size("us") > 1).select(F.explode("us").alias("u"), "v").where("u <> v").distinct()
 
 
-def _blocks(hot: DataFrame, counts: DataFrame, spec: Spec) -> DataFrame:
-    """Links among the rows of each (part, key), in blocks: only those that join two sets of a task."""
+def _differ(spec: Spec, a: str, b: str) -> Column:
+    """Differing bits of the verified fingerprints of two aliases."""
+    return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in spec.checked), F.lit(0))
+
+
+def _blocks(members: DataFrame, spec: Spec) -> DataFrame:
+    """Links among the members of each (part, key).
+
+    Each is compared with one leader of its value; those that link to it are one set, and pairs among
+    them need no look. The rest meet all members, block against block; of what a task finds only
+    the links that join two of its sets leave it.
+    """
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         f = pdf[spec.checked].to_numpy(dtype=np.int64)
         name = pdf.vertex.to_numpy()
-        block = pdf.block.to_numpy()
-        first, second = pdf["first"].iloc[0], pdf["second"].iloc[0]
-        a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        parent = list(range(len(pdf)))
+        a, b = np.flatnonzero(pdf.asks), np.flatnonzero(~pdf.asks)
+        parent = {x: x for x in name.tolist()}
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -279,17 +287,27 @@ def _blocks(hot: DataFrame, counts: DataFrame, spec: Spec) -> DataFrame:
         for k in range(0, len(a), 256):
             differ = sum(np.bitwise_count(f[a[k : k + 256], None, j] ^ f[None, b, j]).astype(np.int16) for j in range(f.shape[1]))
             for i, j in np.argwhere(differ <= spec.most):
-                x, y = a[k + i], b[j]
-                if x != y and (p := root(x)) != (q := root(y)):
+                x, y = int(name[a[k + i]]), int(name[b[j]])
+                if (p := root(x)) != (q := root(y)):
                     parent[q] = p
-                    out.append((name[x], name[y]))
+                    out.append((x, y))
         return pd.DataFrame(out, columns=["u", "v"])
 
-    n = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = hot.join(counts, ["part", "key"]).withColumn("blocks", n)
-    own = own.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select("part", "key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "vertex", *spec.checked)
-    return own.groupBy("part", "key", "first", "second").applyInPandas(meet, "u long, v long").distinct()
+    value = ["part", "key"]
+    lead = members.groupBy(*value).agg(F.min_by(F.struct("vertex", *spec.checked), F.xxhash64("vertex")).alias("l")).select(*value, "l.*").alias("l")
+    met = members.alias("m").join(lead, (F.col("m.part") == F.col("l.part")) & (F.col("m.key") == F.col("l.key")))
+    met = met.select("m.part", "m.key", "m.vertex", *[f"m.{c}" for c in spec.checked], F.col("l.vertex").alias("leader"), (_differ(spec, "m", "l") <= spec.most).alias("near"))
+    met = common.stored(met, "simhash-led")
+    stars = met.where("near and vertex <> leader").select(F.col("vertex").alias("u"), F.col("leader").alias("v")).distinct()
+    rest = met.groupBy(*value).agg(F.count("*").alias("n"), F.sum((~F.col("near")).cast("int")).alias("r")).where("r > 0")
+    rest = common.stored(rest.select(*value, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("r") / BLOCK).cast("int").alias("askers")), "simhash-rest")
+    own = met.join(rest, value)
+    dealt = lambda n: F.pmod(F.xxhash64("vertex"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = own.where("not near").select(*value, "vertex", *spec.checked, dealt("askers").alias("a"), every("blocks").alias("b"), F.lit(True).alias("asks"))
+    answer = own.select(*value, "vertex", *spec.checked, dealt("blocks").alias("b"), every("askers").alias("a"), F.lit(False).alias("asks"))
+    both = ask.unionByName(answer).groupBy(*value, "a", "b")
+    return stars.unionByName(both.applyInPandas(meet, "u long, v long").distinct())
 
 
 def links(vertices: DataFrame, spec: Spec) -> DataFrame:
@@ -305,15 +323,14 @@ def links(vertices: DataFrame, spec: Spec) -> DataFrame:
     hot = common.stored(data.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "simhash-hot")
     x = data.join(hot.select("part", "key"), ["part", "key"], "left_anti").select("part", "key", "vertex", *spec.checked).alias("x")
     p = probes.select("part", "key", "vertex", *spec.checked).alias("p")
-    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"p.{c}"))) for c in spec.checked), F.lit(0))
     met = p.join(x, (F.col("p.part") == F.col("x.part")) & (F.col("p.key") == F.col("x.key")) & (F.col("p.vertex") > F.col("x.vertex") if symmetric else F.col("p.vertex") != F.col("x.vertex")))
-    found = met.where(differ <= spec.most).select(F.col("p.vertex").alias("u"), F.col("x.vertex").alias("v")).distinct()
+    found = met.where(_differ(spec, "x", "p") <= spec.most).select(F.col("p.vertex").alias("u"), F.col("x.vertex").alias("v")).distinct()
     if hot.isEmpty():
         return found
     members = probes.join(hot.select("part", "key"), ["part", "key"], "left_semi")
     if spec.probe == 1 and not spec.check and spec.most == 2:
         return found.unionByName(_star(members, "vertex"))
-    return found.unionByName(_blocks(members, hot, spec))
+    return found.unionByName(_blocks(members, spec))
 
 
 def _vertex(spec: Spec):
