@@ -163,6 +163,11 @@ purge AS (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS purged FROM (SELECT cid,
     return f"shares AS (SELECT fid, sum(w) AS value FROM (SELECT unnest(fids) AS fid, {share} AS w FROM cl{where}) GROUP BY fid),\npurge AS (SELECT 0.0 AS purged)"
 
 
+def _digits(unit: str) -> int:
+    """Decimals to compare: large units have fewer that both engines agree on."""
+    return 3 if unit in ("tpm", "fpkm") else 6
+
+
 def _profile_sql(multi: str, unit: str, total: int | None = None, mincount: int = 0, nolen: bool = False, genome: bool = False) -> str:
     by_length = unit in ("fpkm", "tpm") or not nolen
     known = f"(SELECT mapped <= {total} FROM cnt)" if total else "false"
@@ -180,7 +185,7 @@ def _profile_sql(multi: str, unit: str, total: int | None = None, mincount: int
 val AS (SELECT fid, feature, flen, coalesce(value, 0.0) AS v FROM feat LEFT JOIN shares USING (fid)),
 low AS (SELECT coalesce(sum(v) FILTER (WHERE v < {mincount}), 0.0) AS gone FROM val),
 made AS (SELECT fid AS feature_ord, feature, {value} AS value FROM val UNION ALL SELECT -1, 'Unknown', {unknown} FROM cnt, purge, low)
-SELECT feature_ord, feature, round({factor}, 6) AS value FROM made"""
+SELECT feature_ord, feature, round({factor}, {_digits(unit)}) AS value FROM made"""
 
 
 _PROFILES: dict[str, dict] = {
@@ -218,7 +223,7 @@ def _profile(spark, sf_dir, genome: bool = False, **options) -> profiles.Profile
 
 def _register_profiles() -> None:
     for name, options in _PROFILES.items():
-        query(name, _profile_sql(**options))(lambda spark, sf_dir, options=options: _profile(spark, sf_dir, **options).values.withColumns(_round("value")))
+        query(name, _profile_sql(**options))(lambda spark, sf_dir, options=options: _profile(spark, sf_dir, **options).values.withColumn("value", F.round("value", _digits(options["unit"]))))
 
 
 _register_profiles()
