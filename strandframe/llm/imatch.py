@@ -28,73 +28,71 @@ from pyspark.sql import functions as F
 from strandframe.llm import common
 
 LEAST, MOST = 0.01, 0.05
-#: Bits of a term's hash that a subset looks at: it keeps a term of 2**bits.
-RATES = (2, 4, 6, 8)
+#: Bits of a term's hash that a subset looks at: it keeps a term of 2**bits. Subset k of a rate is the
+#: terms whose leading bits are k, so the subsets of a rate are disjoint and lie in those of the rate before.
+RATES = (3, 5, 7, 9)
 SUBSETS = 8
 CELLS = 65_536
 BUCKET_ROWS = 2048
-LEXICON_BUCKETS = 1 << 14
 
 
 def term_hashes(text: Column) -> Column:
-    """Hashes of the distinct terms: runs without white space, in lower case."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    """Hashes of the terms, repeats included: runs without white space, in lower case."""
+    words = F.array_remove(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _constant(values, kind: str) -> Column:
     """A constant array, folded once when the plan is made."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if len(values) else F.array().cast(f"array<{kind}>")
 
 
 class Lexicon:
-    """Term hashes of the band, in buckets by hash."""
+    """Term hashes of the band, sorted.
 
-    def __init__(self, hashes: list[int]):
-        h = np.array(sorted(hashes), dtype=np.int64)
-        bucket = h % LEXICON_BUCKETS
-        order = np.argsort(bucket, kind="stable")
-        self.size = len(h)
-        self.hashes = h[order].tolist()
-        self.starts = np.searchsorted(bucket[order], np.arange(LEXICON_BUCKETS + 1)).tolist()
-
-    def keep(self, hashes: Column) -> Column:
-        if not self.size:
-            return F.slice(hashes, 1, 0)
-        flat, starts = _constant(self.hashes, "bigint"), _constant(self.starts, "int")
+    Intersecting a constant sorted array with a document's terms gives the distinct ones, sorted, at the cost
+    of the constant's length, in generated code.
+    """
 
-        def known(t: Column) -> Column:
-            b = F.pmod(t, F.lit(LEXICON_BUCKETS)).cast("int")
-            first = F.get(starts, b)
-            return F.array_contains(F.slice(flat, first + 1, F.get(starts, b + 1) - first), t)
+    def __init__(self, hashes: list[int]):
+        self.hashes = sorted(hashes)
+        self.size = len(hashes)
 
-        return F.filter(hashes, known)
+    def keep(self, terms: Column) -> Column:
+        return F.array_intersect(_constant(self.hashes, "bigint"), terms)
 
 
 def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> Lexicon:
     """Counts document frequencies over all rows of docs (doc_id, text) and keeps the band."""
     n = docs.count()
     low = max(2.0, least * n)
-    counts = docs.select(F.explode(term_hashes(F.col("text"))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
+    counts = docs.select(F.explode(F.array_distinct(term_hashes(F.col("text")))).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     return Lexicon([r.h for r in counts.where((F.col("df") >= low) & (F.col("df") <= max(low, most * n))).select("h").collect()])
 
 
 def with_fingerprint(rows: DataFrame, text: str, words: Lexicon, name: str) -> DataFrame:
-    """rows with the column name: array of longs."""
-    rows = rows.withColumn("_every", F.array_sort(term_hashes(F.col(text))))
-    rows = rows.withColumn("_kept", words.keep(F.col("_every")))
+    """rows with the column name: array of longs, SUBSETS for each rate; 0 where a subset is empty."""
+
+    def of_rate(k: int, bits: int) -> Column:
+        return F.filter(f"_s{k - 1}", lambda t: F.shiftrightunsigned(t, 64 - bits) < SUBSETS)
+
+    rows = rows.withColumn("_terms", term_hashes(F.col(text)))
+    rows = rows.withColumn("_s0", words.keep(F.col("_terms")))
+    for k, bits in enumerate(RATES, 1):  # the terms of all subsets of a rate, from those of the rate before
+        rows = rows.withColumn(f"_s{k}", of_rate(k, bits))
 
     def code(terms: Column) -> Column:
         h = F.xxhash64(terms).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.when(F.size(terms) == 0, F.lit(0).cast("long")).otherwise(F.greatest(h, F.lit(1).cast("long")))
 
-    def subset(bits: int, k: int) -> Column:
-        mask = F.lit((1 << bits) - 1)
-        return code(F.filter("_kept", lambda t: F.shiftrightunsigned(t, bits * k).bitwiseAND(mask) == 0))
+    def subset(k: int, bits: int, n: int) -> Column:
+        return F.filter(f"_s{k}", lambda t: F.shiftrightunsigned(t, 64 - bits) == n)
 
-    chosen = F.array(*[subset(bits, k) for bits in RATES for k in range(SUBSETS)])
-    without = F.array_repeat(F.greatest(code(F.col("_every")), F.lit(1).cast("long")), len(RATES) * SUBSETS)
-    return rows.withColumn(name, F.when(F.size("_kept") == 0, without).otherwise(chosen)).drop("_every", "_kept")
+    rows = rows.withColumn("_subsets", F.array(*[subset(k, bits, n) for k, bits in enumerate(RATES, 1) for n in range(SUBSETS)]))
+    every = F.sort_array(F.array_distinct("_terms"))
+    without = F.array_repeat(F.greatest(code(every), F.lit(1).cast("long")), len(RATES) * SUBSETS)
+    made = rows.withColumn(name, F.when(F.size("_s0") == 0, without).otherwise(F.transform("_subsets", code)))
+    return made.drop("_terms", "_subsets", *[f"_s{k}" for k in range(len(RATES) + 1)])
 
 
 def shown(codes: Column) -> Column:
@@ -102,25 +100,25 @@ def shown(codes: Column) -> Column:
     return F.array_join(F.transform(codes, lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(None).cast("int")).when(x == y, 1).otherwise(0))
-    total = lambda part, what: F.aggregate(part, F.lit(0), lambda n, x: n + F.coalesce(what(x), F.lit(0)))
-    either = lambda x: F.when(x.isNotNull(), 1)
-    shares = []
-    for k in range(len(RATES)):
-        part = F.slice(pairs, k * SUBSETS + 1, SUBSETS)
-        n = total(part, either)
-        shares.append(F.when(n >= 2, total(part, lambda x: x) / n))
-    n = total(pairs, either)
-    whole = F.when(n > 0, total(pairs, lambda x: x) / F.greatest(n, F.lit(1))).otherwise(F.when(a == b, 1.0).otherwise(0.0))
-    return F.coalesce(F.greatest(*shares), whole).cast("double")
+def with_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """rows with the column name: the likeness of the fingerprints a and b."""
+    # 0: empty in both, 1: different, 2: equal
+    rows = rows.withColumn("_pairs", F.zip_with(a, b, lambda x, y: F.when(x != y, 1).when(x == 0, 0).otherwise(2)))
+    parts = [F.slice("_pairs", k * SUBSETS + 1, SUBSETS) for k in range(len(RATES))]
+    counts = [F.struct(F.size(F.array_remove(p, 0)).alias("n"), F.size(F.filter(p, lambda x: x == 2)).alias("e")) for p in parts]
+    rows = rows.withColumn("_counts", F.array(*counts))
+    c = [F.col("_counts")[k] for k in range(len(RATES))]
+    n, e = sum((x["n"] for x in c), F.lit(0)), sum((x["e"] for x in c), F.lit(0))
+    whole = F.when(n > 0, e / F.nullif(n, F.lit(0))).when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
+    best = F.greatest(*[F.when(x["n"] >= 2, x["e"] / F.nullif(x["n"], F.lit(0))) for x in c])
+    return rows.withColumn(name, F.coalesce(best, whole).cast("double")).drop("_pairs", "_counts")
 
 
-def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """rows with next_<column> of the row that follows in descending key (after the last: the first)."""
+def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id", text: str = "text", add=lambda df: df) -> DataFrame:
+    """add(rows) with next_<column> of the row that follows in descending key (after the last: the first)."""
     low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
     if not n:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return add(rows).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     cells = max(1, min(CELLS, -(-n // 256)))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // cells))
     # cell 0 is that of the largest ids; null ids have the last
@@ -141,7 +139,7 @@ def with_next(rows: DataFrame, columns: list[str], key: str = "doc_id", text: st
     last = Window.partitionBy("_at").orderBy(F.desc(text))
     ends = ends.withColumn("_n", F.row_number().over(last)).where("_n = 1").select(*rows.columns, F.col("_at").alias("_bucket"), F.lit(True).alias("_ghost"))
     order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc_nulls_last(key), F.desc(text))
-    both = placed.unionByName(ends).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+    both = add(placed.unionByName(ends)).select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
     return both.where(~F.col("_ghost")).drop("_bucket", "_ghost")
 
 
@@ -149,17 +147,11 @@ def fingerprint_and_edit(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and likenesses."""
     rows = common.plain(docs, {"doc_id": "long", "text": "string"}).withColumn("text", F.coalesce("text", F.lit("")))
     words = lexicon(rows)
-    near = with_next(with_fingerprint(rows, "text", words, "codes"), ["text", "codes"])
+    near = with_next(rows, ["text", "codes"], add=lambda df: with_fingerprint(df, "text", words, "codes"))
     third = F.floor(F.length("text") / F.lit(3)).cast("int")
     edited = F.concat(F.left(F.col("text"), F.length("text") - third), F.left(F.col("next_text"), third))
     near = near.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "codes", "next_codes")
     near = with_fingerprint(near, "edited", words, "edited_codes")
-    return near.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        shown(F.col("codes")).alias("fingerprint"),
-        shown(F.col("edited_codes")).alias("edited_fingerprint"),
-        likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
-        likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
-    )
+    near = with_likeness(with_likeness(near, "codes", "edited_codes", "near_edited"), "codes", "next_codes", "near_next")
+    shas = F.sha2("edited", 256).alias("edited_sha256")
+    return near.select("doc_id", "n_chars", shas, shown(F.col("codes")).alias("fingerprint"), shown(F.col("edited_codes")).alias("edited_fingerprint"), "near_edited", "near_next")

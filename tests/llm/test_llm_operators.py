@@ -409,7 +409,7 @@ def test_imatch(spark, docs, small, nothing):
         assert len(r.fingerprint) == len(r.edited_fingerprint) == 8 * n
         if kept[i]:
             for s, (bits, j) in enumerate((b, j) for b in imatch.RATES for j in range(imatch.SUBSETS)):
-                chosen = [h for h in kept[i] if ((h % (1 << 64)) >> (bits * j)) & ((1 << bits) - 1) == 0]
+                chosen = [h for h in kept[i] if (h % (1 << 64)) >> (64 - bits) == j]
                 assert (r.fingerprint[8 * s : 8 * s + 8] == "0" * 8) == (not chosen)
         if text == following[1]:
             assert r.near_next == 1
