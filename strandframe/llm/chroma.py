@@ -41,6 +41,8 @@ HOT = 256
 #: Equal integers at one offset, and share of differing bits, that make a match.
 LEAST_EQUAL, MOST_DIFFERENT = 3, 0.3
 BLOCK = 512
+#: Tones a worker has made: one for each whole pitch of four octaves.
+_NOTES: dict[tuple[int, int], np.ndarray] = {}
 
 
 def _bins() -> np.ndarray:
@@ -64,17 +66,18 @@ def filters() -> list[tuple[int, int, int, int]]:
 
 def frames(samples: np.ndarray) -> np.ndarray:
     """(n, 12): one row of pitch-class energies per spectrum."""
-    x = np.nan_to_num(np.asarray(samples, dtype=np.float64), posinf=0.0, neginf=0.0)
+    x = np.nan_to_num(np.asarray(samples, dtype=np.float32), posinf=0.0, neginf=0.0)
     n = 1 + (len(x) - FRAME) // HOP if len(x) >= FRAME else 0
     out = np.zeros((n, CLASSES))
     bins = _bins()
-    fold = np.zeros((len(bins), CLASSES))
+    fold = np.zeros((len(bins), CLASSES), dtype=np.float32)
     fold[np.flatnonzero(bins >= 0), bins[bins >= 0]] = 1
-    hann = np.hanning(FRAME)
+    hann = np.hanning(FRAME).astype(np.float32)
     for a in range(0, n, 256):  # long recordings in pieces
         b = min(n, a + 256)
         cut = np.lib.stride_tricks.as_strided(x[a * HOP :], (b - a, FRAME), (x.strides[0] * HOP, x.strides[0]))
-        out[a:b] = (np.abs(np.fft.rfft(cut * hann, axis=1)) ** 2) @ fold
+        lines = np.fft.rfft(cut * hann, axis=1)
+        out[a:b] = (lines.real**2 + lines.imag**2) @ fold
     norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-9)
 
@@ -132,15 +135,20 @@ def differing(a: np.ndarray, b: np.ndarray, offset: int) -> float:
     return float(np.bitwise_count(a[i0:i1] ^ b[i0 + offset : i1 + offset]).sum()) / (2 * FILTERS * (i1 - i0))
 
 
+def _note(pitch: int, samples: int) -> np.ndarray:
+    """A tone of that pitch (69: 440 Hz) with a weaker octave."""
+    if (pitch, samples) not in _NOTES:
+        phase = 2 * np.pi * 440.0 * 2 ** ((pitch - 69) / 12) * np.arange(samples) / RATE
+        _NOTES[pitch, samples] = np.sin(phase) + 0.3 * np.sin(2 * phase)
+    return _NOTES[pitch, samples]
+
+
 def render(vector: np.ndarray, note: int = 1378) -> np.ndarray:
-    """A recording of a vector: for each value a note whose pitch rises with it, with a weaker octave."""
+    """A recording of a vector: for each value a note whose pitch rises with it, over four octaves."""
     x = np.nan_to_num(np.asarray(vector, dtype=np.float64))
     scale = np.sqrt((x**2).mean()) if len(x) else 0.0
-    pitch = np.rint(69 + 12 * np.clip(x / (scale or 1.0), -2, 2))
-    hz = 440.0 * 2 ** ((pitch - 69) / 12)
-    t = np.arange(note) / RATE
-    phase = 2 * np.pi * hz[:, None] * t[None, :]
-    return (np.sin(phase) + 0.3 * np.sin(2 * phase)).ravel()
+    pitch = np.rint(69 + 12 * np.clip(x / (scale or 1.0), -2, 2)).astype(int)
+    return np.concatenate([_note(p, note) for p in pitch.tolist()]) if len(x) else np.empty(0)
 
 
 def fingerprints(recordings: DataFrame, source: str = "samples") -> DataFrame:
