@@ -8,10 +8,8 @@ distance - partitions + 1 can't miss a pair, and -1 means a partition isn't prob
 fingerprint probes every value within a partition's threshold; what it meets is verified on all bits.
 
 A value that more than HOT fingerprints share isn't joined. Its members take another exact way:
-* 64 bits, distance 2: two fingerprints are linked just if some value is within one bit of both. Each
-  member gives its 65 such values; a value has 65 members at most, and a star over them links all.
-* otherwise: the members are compared with one of them, the leader. Those that link to it are one set;
-  the rest meet all members in blocks of BLOCK, and only the links that join two sets leave a task.
+two fingerprints of 64 bits are linked at distance 2 just if some value is within one bit of both. Each
+member gives its 65 such values; a value has 65 members at most, and a star over them links all.
 
 Components come from alternating large and small stars, cut by written tables. No pair list of a
 group is made, and only a sample of fingerprints (SAMPLE) reaches the driver.
@@ -20,6 +18,15 @@ Defined results: null or empty texts, and texts without words, have the fingerpr
 linked like any other; fewer words than a shingle make one shingle of all; rows that share a doc_id
 are rows of their own; a component's id is its smallest doc_id, null if all are null; an empty table
 gives an empty result; other columns are ignored.
+
+The pipeline's near copies (one_of_each) are another relation: texts whose sets of five-word shingles
+have a Jaccard of 0.8 at least, and what such links join. Candidates share one of BANDS keys of
+BAND_ROWS minima of permuted shingle hashes: a minimum is equal with a probability that is the
+Jaccard, whatever kind of edit made the difference and however many rows there are, so a pair at 0.8
+is missed with (1 - 0.8**BAND_ROWS)**BANDS, 3 in a million, and a more similar one less. Each
+candidate is decided by its two shingle sets. In a key's members each is compared with a leader first;
+pairs that are still in different components follow, in blocks of BLOCK where there are more than HOT.
+Texts without words are copies of each other.
 """
 
 from __future__ import annotations
@@ -44,6 +51,11 @@ from strandframe.llm.tokens import in_slices
 SAMPLE = 2048
 HOT = 64
 BLOCK = 512
+#: Near copies: words of a shingle; a Jaccard of SHARED / PARTS.
+SHINGLE = 5
+SHARED, PARTS = 4, 5
+BAND_ROWS, BANDS = 5, 32
+PERMUTE = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 63, BAND_ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -114,10 +126,6 @@ class Spec:
 
 #: The contract of the query: 3 words, 64 bits, 2 differing bits.
 QUERY = Spec()
-#: Five-word shingles at a similarity of 0.8: 2 * 0.8 / 1.8 is the cosine, whose angle is 15 % of the
-#: bits, 39 of 256; 42 leave room for the estimate's error. Candidates come from the distinct words
-#: (a changed word changes one of them, but five shingles) over 12 fingerprints.
-NEAR_COPIES = Spec(shingle=5, probe=12, words=True, check=4, distance=-1, most=42)
 
 
 def fingerprints(docs: DataFrame, spec: Spec = QUERY) -> DataFrame:
@@ -205,10 +213,6 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 def plan(bits: np.ndarray, rows: int, spec: Spec) -> tuple[list[list[int]], list[int]]:
     """Partitions of the bits and their thresholds, for so many fingerprints of which bits is a sample."""
     total = bits.shape[1]
-    if spec.distance < 0:  # partitions just wide enough that chance meetings grow with the rows, not with their square
-        width = min(32, max(12, math.ceil(math.log2(max(2, rows))) + 6))
-        groups = group_bits(bits, max(1, total // width))
-        return groups, [0] * len(groups)
     best = (math.inf, [], [])
     for m in range(2, min(spec.distance + 2, total // 12) + 1):
         groups = group_bits(bits, m)
@@ -263,53 +267,6 @@ def _differ(spec: Spec, a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in spec.checked), F.lit(0))
 
 
-def _blocks(members: DataFrame, spec: Spec) -> DataFrame:
-    """Links among the members of each (part, key).
-
-    Each is compared with one leader of its value; those that link to it are one set, and pairs among
-    them need no look. The rest meet all members, block against block; of what a task finds only
-    the links that join two of its sets leave it.
-    """
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = pdf[spec.checked].to_numpy(dtype=np.int64)
-        name = pdf.vertex.to_numpy()
-        a, b = np.flatnonzero(pdf.asks), np.flatnonzero(~pdf.asks)
-        parent = {x: x for x in name.tolist()}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        out = []
-        for k in range(0, len(a), 256):
-            differ = sum(np.bitwise_count(f[a[k : k + 256], None, j] ^ f[None, b, j]).astype(np.int16) for j in range(f.shape[1]))
-            for i, j in np.argwhere(differ <= spec.most):
-                x, y = int(name[a[k + i]]), int(name[b[j]])
-                if (p := root(x)) != (q := root(y)):
-                    parent[q] = p
-                    out.append((x, y))
-        return pd.DataFrame(out, columns=["u", "v"])
-
-    value = ["part", "key"]
-    lead = members.groupBy(*value).agg(F.min_by(F.struct("vertex", *spec.checked), F.xxhash64("vertex")).alias("l")).select(*value, "l.*").alias("l")
-    met = members.alias("m").join(lead, (F.col("m.part") == F.col("l.part")) & (F.col("m.key") == F.col("l.key")))
-    met = met.select("m.part", "m.key", "m.vertex", *[f"m.{c}" for c in spec.checked], F.col("l.vertex").alias("leader"), (_differ(spec, "m", "l") <= spec.most).alias("near"))
-    met = common.stored(met, "simhash-led")
-    stars = met.where("near and vertex <> leader").select(F.col("vertex").alias("u"), F.col("leader").alias("v")).distinct()
-    rest = met.groupBy(*value).agg(F.count("*").alias("n"), F.sum((~F.col("near")).cast("int")).alias("r")).where("r > 0")
-    rest = common.stored(rest.select(*value, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("r") / BLOCK).cast("int").alias("askers")), "simhash-rest")
-    own = met.join(rest, value)
-    dealt = lambda n: F.pmod(F.xxhash64("vertex"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = own.where("not near").select(*value, "vertex", *spec.checked, dealt("askers").alias("a"), every("blocks").alias("b"), F.lit(True).alias("asks"))
-    answer = own.select(*value, "vertex", *spec.checked, dealt("blocks").alias("b"), every("askers").alias("a"), F.lit(False).alias("asks"))
-    both = ask.unionByName(answer).groupBy(*value, "a", "b")
-    return stars.unionByName(both.applyInPandas(meet, "u long, v long").distinct())
-
-
 def links(vertices: DataFrame, spec: Spec) -> DataFrame:
     """u, v: links between vertices (columns vertex and the fingerprints, distinct) that give the same components as all links."""
     rows = vertices.count()
@@ -328,9 +285,7 @@ def links(vertices: DataFrame, spec: Spec) -> DataFrame:
     if hot.isEmpty():
         return found
     members = probes.join(hot.select("part", "key"), ["part", "key"], "left_semi")
-    if spec.probe == 1 and not spec.check and spec.most == 2:
-        return found.unionByName(_star(members, "vertex"))
-    return found.unionByName(_blocks(members, spec))
+    return found.unionByName(_star(members, "vertex"))
 
 
 def _vertex(spec: Spec):
@@ -372,9 +327,158 @@ def near_duplicates(docs: DataFrame, spec: Spec = QUERY) -> DataFrame:
     return own.join(ids, "vertex").select("doc_id", *spec.columns, "component_id")
 
 
-def one_of_each(docs: DataFrame, spec: Spec = NEAR_COPIES) -> DataFrame:
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct five-word shingles' hashes, sorted."""
+    return np.unique(shingle_hashes(text, SHINGLE))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of BAND_ROWS minima of the shingles under seeded permutations."""
+    low = np.full(len(PERMUTE), np.iinfo(np.uint64).max)
+    for k in range(0, len(shingles), 4096):
+        np.minimum(low, (PERMUTE[:, None] * shingles[None, k : k + 4096]).min(axis=1), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k, row in enumerate(low.reshape(BANDS, BAND_ROWS).T):
+        key = mix(key ^ row, 200 + k)
+    return key.view(np.int64)
+
+
+def similar_sizes(a: str, b: str) -> Column:
+    """Sets of these sizes can reach the similarity."""
+    return F.least(a, b) * PARTS >= F.greatest(a, b) * SHARED
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and vertex, a number for the text."""
+    rows = common.plain(docs, {"doc_id": "long", "text": "string"}).withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.withColumn("vertex", F.xxhash64("text"))
+
+
+def _banded(texts: DataFrame) -> DataFrame:
+    """doc_id, vertex, size of the shingle set, keys."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in in_slices(texts):
+                sets = [shingle_set(t) for t in texts[a:b]]
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([band_keys(s) for s in sets])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), keys], names=["doc_id", "vertex", "size", "keys"])
+
+    return texts.select("doc_id", "vertex", "text").mapInArrow(make, "doc_id long, vertex long, size long, keys array<long>")
+
+
+def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """vertex and the shingle set of each needed vertex."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in in_slices(texts):
+                sets = [shingle_set(t).view(np.int64) for t in texts[a:b]]
+                lists = pa.array(sets, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["vertex", "shingles"])
+
+    one = texts.join(needed, "vertex", "left_semi").groupBy("vertex").agg(F.any_value("text").alias("text"))
+    return one.mapInArrow(make, "vertex long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs u, v whose shingle sets reach the similarity. A v of many pairs is dealt out by their u."""
+    many = common.stored(pairs.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("v", F.ceil(F.col("n") / HOT).cast("int").alias("fan")), "near-fans")
+    fan = F.coalesce("fan", F.lit(1))
+    right = sets.withColumnRenamed("vertex", "v").join(many, "v", "left").select("v", F.explode(F.sequence(F.lit(0), fan - 1)).alias("salt"), F.col("shingles").alias("b"))
+    left = pairs.join(many, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), fan).cast("int").alias("salt"))
+    left = left.join(sets.select(F.col("vertex").alias("u"), F.col("shingles").alias("a")), "u")
+    both = F.size(F.array_intersect("a", "b"))
+    return left.join(right, ["v", "salt"]).where(both * (PARTS + SHARED) >= (F.size("a") + F.size("b")) * SHARED).select("u", "v")
+
+
+def _met_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components among the members (key, vertex, root, apart: not of the leader's component) of each key."""
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, root_of, sets = pdf.vertex.to_numpy(), pdf.root.tolist(), pdf.shingles.tolist()
+        a, b = np.flatnonzero(pdf.asks), np.flatnonzero(~pdf.asks)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        parent = {x: x for x in root_of}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        _, code = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        ends = np.cumsum(sizes)
+        answers = np.concatenate([code[ends[j] - sizes[j] : ends[j]] for j in b])
+        edges = np.concatenate([[0], np.cumsum(sizes[b])])
+        has = np.zeros(len(code) + 1, dtype=bool)
+        out = []
+        for i in a:
+            own = code[ends[i] - sizes[i] : ends[i]]
+            has[own] = True
+            shared = np.diff(np.concatenate([[0], np.cumsum(has[answers])])[edges])
+            has[own] = False
+            for j in np.flatnonzero(shared * (PARTS + SHARED) >= (sizes[i] + sizes[b]) * SHARED):
+                if (p := root(root_of[i])) != (q := root(root_of[b[j]])):
+                    parent[q] = p
+                    out.append((int(name[i]), int(name[b[j]])))
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    counts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(F.col("apart").cast("int")) / BLOCK).cast("int").alias("askers"))
+    own = members.join(counts, "key")
+    dealt = lambda n: F.pmod(F.xxhash64("vertex"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = own.where("apart").select("key", "vertex", "root", dealt("askers").alias("a"), every("blocks").alias("b"), F.lit(True).alias("asks"))
+    answer = own.select("key", "vertex", "root", dealt("blocks").alias("b"), every("askers").alias("a"), F.lit(False).alias("asks"))
+    both = ask.unionByName(answer).join(sets, "vertex").groupBy("key", "a", "b")
+    return both.applyInPandas(meet, "u long, v long").distinct()
+
+
+def near_links(vertices: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v: links between vertices (vertex, size, keys) that give the same components as all candidates that reach the similarity."""
+    every = vertices.select("vertex", "size", F.explode("keys").alias("key"))
+    lead = every.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct(F.col("vertex").alias("leader"), F.col("size").alias("leader_size")), F.xxhash64("vertex")).alias("l")).where("n > 1")
+    members = common.stored(every.join(lead.select("key", "n", "l.*"), "key"), "near-members")
+    sets = common.stored(_sets(texts, members.select("vertex").distinct()), "near-sets")
+    pairs = common.stored(members.where(F.col("vertex") != F.col("leader")).where(similar_sizes("size", "leader_size")).select(F.col("vertex").alias("u"), F.col("leader").alias("v")).distinct(), "near-pairs")
+    led = common.stored(_verified(pairs, sets), "near-led")
+    roots = common.stored(components(led), "near-roots")
+    rooted = members.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    rooted = common.stored(rooted.join(apart, "key", "left_semi").select("key", "vertex", "size", "root", "n", "leader"), "near-apart")
+    few = rooted.where(F.col("n") <= HOT)
+    x, y = few.alias("x"), few.alias("y")
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.vertex") > F.col("y.vertex")) & (F.col("x.root") != F.col("y.root")))
+    more = more.where(similar_sizes("x.size", "y.size")).select(F.col("x.vertex").alias("u"), F.col("y.vertex").alias("v")).distinct()
+    tried = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    found = led.unionByName(_verified(common.stored(more.join(tried, ["u", "v"], "left_anti"), "near-more"), sets))
+    hot = rooted.where(F.col("n") > HOT)
+    if hot.isEmpty():
+        return found
+    first = hot.where(F.col("vertex") == F.col("leader")).select("key", F.col("root").alias("first"))
+    hot = common.stored(hot.join(first, "key").select("key", "vertex", "root", (F.col("root") != F.col("first")).alias("apart")), "near-hot")
+    return found.unionByName(_met_in_blocks(hot, sets))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id of the near copies, for each row."""
+    texts = _texts(docs)
+    own = common.stored(_banded(texts), "near-banded")
+    vertices = common.stored(own.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "near-vertices")
+    roots = components(near_links(vertices, texts))
+    named = common.stored(vertices.select("vertex", "least").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")), "near-named")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = named.select("vertex", "root").join(least, "root").select("vertex", "component_id")
+    return own.select("doc_id", "vertex").join(ids, "vertex").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component; of rows that share that doc_id, one."""
-    own = common.stored(near_duplicates(docs, spec).select("doc_id", "component_id"), "near-copies")
+    own = common.stored(near_copies(docs), "near-copies")
     stays = own.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = stays.groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = docs.join(stays.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")

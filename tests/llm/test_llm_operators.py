@@ -559,6 +559,52 @@ def test_near_copies(spark, docs, monkeypatch):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 5, None, 7, -9]) or Counter(r.doc_id for r in kept.collect())[3] == 1
 
 
+def exact_near_copies(rows):
+    """doc_id and the smallest doc_id of its component at a shingle Jaccard of 0.8, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        w = text.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    roots = plain_components(list(range(len(rows))), lambda i, j: 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])))
+    least = {}
+    for (doc_id, _), r in zip(rows, roots):
+        least[r] = min(least.get(r, doc_id), doc_id)
+    return {doc_id: least[r] for (doc_id, _), r in zip(rows, roots)}
+
+
+def edited(rng, text, n, kind):
+    """A copy with n new words: in one run in its place, at its end, or scattered."""
+    new = [f"n{rng.getrandbits(40):x}" for _ in range(n)]
+    if kind == "appended":
+        return text + new
+    at = rng.randrange(len(text) - n)
+    where = range(at, at + n) if kind == "block" else rng.sample(range(len(text)), n)
+    out = list(text)
+    for k, w in zip(where, new):
+        out[k] = w
+    return out
+
+
+@pytest.mark.parametrize("pairs", [30, 300])
+def test_near_copies_by_kind_of_edit(spark, pairs):
+    """Pairs at a Jaccard of 0.8 to 0.95 are found and those at 0.6 to 0.79 left alone, for each kind of edit and two sizes."""
+    rng = random.Random(pairs)
+    rows, seen = [], Counter()
+    for kind in ("block", "appended", "scattered"):
+        for k in range(pairs):
+            text = [f"w{rng.getrandbits(40):x}" for _ in range(300)]
+            n = rng.randint(*{"block": (5, 65), "appended": (15, 180), "scattered": (2, 13)}[kind])
+            pair = [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(edited(rng, text, n, kind)))]
+            rows += pair
+            seen[kind, exact_near_copies(pair)[pair[1][0]] == pair[0][0]] += 1
+    assert len(seen) == 6 and min(seen.values()) > pairs // 10
+    want = {}
+    for k in range(0, len(rows), 2):
+        want |= exact_near_copies(rows[k : k + 2])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # WARC
 
 
