@@ -605,6 +605,26 @@ def test_near_copies_by_kind_of_edit(spark, pairs):
     assert got == want
 
 
+@pytest.mark.parametrize(("hot", "block"), [(64, 512), (3, 4)])
+def test_near_copies_are_exact_components(spark, monkeypatch, hot, block):
+    """Chains and families around the similarity, with and without the hot way, as all pairs give them."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(11)
+    rows = []
+    for family in range(12):
+        text = [f"w{rng.getrandbits(40):x}" for _ in range(200)]
+        for k in range(12):
+            rows.append((len(rows), " ".join(text if k == 0 else edited(rng, text, rng.randint(3, 40) if k % 2 else rng.randint(1, 6), "block" if k % 2 else "scattered"))))
+        for k in range(4):  # a chain: each near the one before
+            text = edited(rng, text, 12, "block")
+            rows.append((len(rows), " ".join(text)))
+    want = exact_near_copies(rows)
+    assert 12 < len(set(want.values())) < len(rows) - 60
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 # WARC
 
 
