@@ -290,6 +290,8 @@ def main_text(page: str | None) -> str:
         if outer or tags[container] == kind:
             container = outer[0] if outer else container
             break
+    else:  # no markup says where the article ends: selected blocks outside stay
+        return "\n".join(b.text for b in found if container in b.within or b.path in chosen)
     return "\n".join(b.text for b in found if container in b.within)
 
 

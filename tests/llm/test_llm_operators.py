@@ -213,6 +213,18 @@ def test_html_cases(page, expected):
     assert html_text.main_text(page) == expected
 
 
+@pytest.mark.parametrize("parts", [(17, 3), (3, 17), (10, 10), (1, 18, 1)])
+def test_text_split_over_sibling_divs(parts):
+    lines, divs = [], []
+    for d, n in enumerate(parts):
+        own = [f"Part {d}, line {k}: some words, and some more of them. And the end." for k in range(n)]
+        lines += own
+        divs.append("<div>" + "".join(f"<p>{x}</p>" for x in own) + "</div>")
+    page = "<html><body><nav><a href='/'>Home</a></nav>" + "".join(divs) + "</body></html>"
+    assert html_text.main_text(page) == "\n".join(lines)
+
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<b>", "</b>", "<ul><li>", "</ul>", "text, more. ", "&amp;", "<", ">", "<!--", "-->", "<script>", "</script>", "<br/>", "<table><td>", "</article>", "<article>"]), max_size=30))
 def test_html_never_fails(parts):
