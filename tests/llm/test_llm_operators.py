@@ -374,6 +374,15 @@ def test_language(spark, docs, small, nothing):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 4, 5, None, 7}
 
 
+def test_clean_documents_stay(spark, small):
+    """Documents labelled as good and not toxic pass the least score, in each language."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1 and toxic = 0")
+    clean = small.join(labels, "doc_id", "left_semi").select("doc_id", "lang").collect()
+    kept = {r.doc_id for r in language_id.keep_identified(small, language_id.fit(small)).collect()}
+    assert len(clean) > 60 and {r.lang for r in clean} == {"de", "en", "es", "fr"}
+    assert {r.doc_id for r in clean} <= kept
+
+
 def test_network_answers_as_the_plain_convolution():
     network = language_id.train(["the cat and the dog " * 20, "le chat et le chien " * 20], ["en", "fr"])
     reader = language_id.Reader(network)
