@@ -379,8 +379,8 @@ def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
                 lists = pa.array(sets, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["vertex", "shingles"])
 
-    one = texts.join(needed, "vertex", "left_semi").groupBy("vertex").agg(F.any_value("text").alias("text"))
-    return one.mapInArrow(make, "vertex long, shingles array<long>")
+    one = texts.groupBy("vertex").agg(F.any_value("text").alias("text"))  # first: copies are one row before they meet
+    return one.join(needed, "vertex", "left_semi").select("vertex", "text").mapInArrow(make, "vertex long, shingles array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
