@@ -3,6 +3,8 @@ import html
 import io
 import math
 import random
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -406,58 +408,89 @@ def test_network_answers_as_the_plain_convolution():
 # I-Match
 
 
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def plain_terms(text):
+    """Hashes of the distinct terms."""
+    return {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w}
+
+
+def plain_code(terms):
+    """The code of a set of term hashes: 0 if there is none."""
+    h = 42
+    for t in sorted(terms):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", t), h)
+    return max(1, h & 0xFFFFFFFF) if terms else 0
+
+
+def plain_codes(text, band):
+    kept = plain_terms(text) & band
+    if not kept:
+        return [max(1, plain_code(plain_terms(text)))] * sum(n for _, n in imatch.RATES)
+    return [plain_code({t for t in kept if (t % (1 << 64)) >> (64 - bits) == k}) for bits, n in imatch.RATES for k in range(n)]
+
+
+def plain_likeness(a, b):
+    at, counts = 0, []
+    for _, n in imatch.RATES:
+        pairs = [(x, y) for x, y in zip(a[at : at + n], b[at : at + n]) if x or y]
+        counts.append((len(pairs), sum(x == y for x, y in pairs)))
+        at += n
+    if any(n >= 2 for n, _ in counts):
+        return max(e / n for n, e in counts if n >= 2)
+    n = sum(n for n, _ in counts)
+    return sum(e for _, e in counts) / n if n else float(a == b)
+
+
 def plain_imatch(rows):
-    """Fingerprints and neighbours in plain Python: {doc_id: (fingerprint, edited text)}."""
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    terms = lambda t: {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in t.lower().encode().decode().split(" ") for w in w.replace("\n", " ").replace("\t", " ").split(" ") if w}
-    df = Counter(h for _, t in rows for h in terms(t))
+    """(doc_id, n_chars, edited digest, codes, edited codes, likenesses) of each row, in plain Python."""
+    rows = [(i, t or "") for i, t in rows]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))), reverse=True)
+    df = Counter(h for _, t in rows for h in plain_terms(t))
     low = max(2.0, imatch.LEAST * len(rows))
     band = {h for h, n in df.items() if low <= n <= max(low, imatch.MOST * len(rows))}
-    return {i: terms(t) & band for i, t in rows}, band
-
-
-def test_imatch(spark, docs, small, nothing):
-    rows = sorted(((r.doc_id, r.text) for r in small.collect()), reverse=True)
-    got = {r.doc_id: r for r in imatch.fingerprint_and_edit(small).collect()}
-    kept, band = plain_imatch(rows)
-    n = len(imatch.RATES) * imatch.SUBSETS
-    for k, (i, text) in enumerate(rows):
-        following = rows[(k + 1) % len(rows)]
+    show = lambda codes: "".join(f"{c:08x}" for c in codes)
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
         third = len(text) // 3
-        edited = text[: len(text) - third] + following[1][:third]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert len(r.fingerprint) == len(r.edited_fingerprint) == 8 * n
-        if kept[i]:
-            for s, (bits, j) in enumerate((b, j) for b in imatch.RATES for j in range(imatch.SUBSETS)):
-                chosen = [h for h in kept[i] if (h % (1 << 64)) >> (64 - bits) == j]
-                assert (r.fingerprint[8 * s : 8 * s + 8] == "0" * 8) == (not chosen)
-        if text == following[1]:
-            assert r.near_next == 1
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert np.mean([r.near_edited for r in got.values()]) > 5 * np.mean([r.near_next for r in got.values()])
-    prints = defaultdict(set)
-    for i, text in rows:
-        prints[text].add(got[i].fingerprint)
-    assert all(len(p) == 1 for p in prints.values())
-    odd = imatch.fingerprint_and_edit(docs).collect()
-    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in odd) == sorted((r[0] is not None, r[0] or 0) for r in AWKWARD)
-    assert len({r.fingerprint for r in odd if r.doc_id in (3, 4)}) == 1
+        edited = text[: len(text) - third] + after[:third]
+        own, changed, following = (plain_codes(t, band) for t in (text, edited, after))
+        yield i, len(text), hashlib.sha256(edited.encode()).hexdigest(), show(own), show(changed), plain_likeness(own, changed), plain_likeness(own, following)
+
+
+@pytest.mark.parametrize("bucket_rows", [2048, 9])
+def test_imatch(spark, docs, small, nothing, monkeypatch, bucket_rows):
+    monkeypatch.setattr(imatch, "BUCKET_ROWS", bucket_rows)
+    for df in (small, docs):
+        want = Counter(plain_imatch([(r.doc_id, r.text) for r in df.collect()]))
+        got = imatch.fingerprint_and_edit(df).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+        assert Counter(map(tuple, got.collect())) == want
+    rows = list(plain_imatch([(r.doc_id, r.text) for r in small.collect()]))
+    assert np.mean([r[5] for r in rows]) > 5 * np.mean([r[6] for r in rows])
     assert imatch.fingerprint_and_edit(nothing).collect() == []
-    one = imatch.fingerprint_and_edit(docs.where("doc_id = 4")).first()
-    assert one.near_next == 1
+    assert imatch.fingerprint_and_edit(docs.where("doc_id = 4")).first().near_next == 1
 
 
 def test_neighbours_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(imatch, "BUCKET_ROWS", 3)
-    monkeypatch.setattr(imatch, "CELLS", 16)
-    rows = [(k * k % 977, f"t{k}") for k in range(60)] + [(5, "x"), (5, "y"), (None, "n1"), (None, "n2"), (10**12, "far"), (-(10**12), "low")]
+    monkeypatch.setattr(imatch, "SAMPLED", 2)
+    ids = [k * k % 977 for k in range(60)] + [5, 5, None, None, None, 10**12, -(10**12), -9 * 10**18, 9 * 10**18, -(1 << 63), (1 << 63) - 1]
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)] + [(7, "same")] * 20 + [(None, "same")] * 20
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))), reverse=True)
     want = Counter((a, b[1]) for a, b in zip(order, order[1:] + order[:1]))
     assert Counter(((r.doc_id, r.text), r.next_text) for r in imatch.with_next(df, ["text"]).collect()) == want
 
 
+def test_buckets_follow_the_rows_and_not_the_ids(spark):
+    """One far id beside dense ones: no bucket holds much more than its share."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).unionByName(spark.createDataFrame([(10**13, "far")], "doc_id long, text string"))
+    placed = rows.withColumns(imatch._order("doc_id", "text"))
+    sizes = [r["count"] for r in placed.groupBy(imatch._bucket(imatch._bounds(placed, 20_001)).alias("b")).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 3 * imatch.BUCKET_ROWS
+
+
 def test_imatch_is_native(spark):
     plan = queries.op7_document_fingerprints(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "MapInArrow" not in plan
