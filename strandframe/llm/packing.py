@@ -97,13 +97,13 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int, int,
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, seed: int = 17, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """The pieces of all documents: SCHEMA. sequence_id is the group's number times 2**31 plus the bin."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, seed: int = 17, group_docs: int = GROUP_DOCS, cache_entries: int = tokens.CACHE_ENTRIES) -> DataFrame:
+    """The pieces of all documents: SCHEMA. sequence_id is the group's number times 2**31 plus the bin. cache_entries: pieces of text whose ids a worker remembers."""
     rows = common.plain(docs, {"doc_id": "long", "text": "string"})
     groups = max(1, -(-rows.count() // group_docs))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer)
+        encoder = tokens.encoder(tokenizer, cache_entries)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]

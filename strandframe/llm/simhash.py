@@ -20,13 +20,15 @@ are rows of their own; a component's id is its smallest doc_id, null if all are
 gives an empty result; other columns are ignored.
 
 The pipeline's near copies (one_of_each) are another relation: texts whose sets of five-word shingles
-have a Jaccard of 0.8 at least, and what such links join. Candidates share one of BANDS keys of
-BAND_ROWS minima of permuted shingle hashes: a minimum is equal with a probability that is the
+have a Jaccard of 0.8 at least, and what such links join. Fingerprint bits can't find those pairs: one
+replaced passage changes a seventh of all bits there, and the pigeonhole principle would then need
+partitions of five bits, which a thirty-second of all documents share. So candidates share one of BANDS
+keys of BAND_ROWS minima of permuted shingle hashes: a minimum is equal with a probability that is the
 Jaccard, whatever kind of edit made the difference and however many rows there are, so a pair at 0.8
 is missed with (1 - 0.8**BAND_ROWS)**BANDS, 3 in a million, and a more similar one less. Each
 candidate is decided by its two shingle sets. In a key's members each is compared with a leader first;
-pairs that are still in different components follow, in blocks of BLOCK where there are more than HOT.
-Texts without words are copies of each other.
+pairs that are still in different components follow, in blocks of BLOCK shingles where there are more
+than HOT members. Texts without words are copies of each other.
 """
 
 from __future__ import annotations
@@ -50,7 +52,8 @@ from strandframe.llm.tokens import in_slices
 #: Fingerprints that the driver sees, to group bits and estimate candidates.
 SAMPLE = 2048
 HOT = 64
-BLOCK = 512
+#: Shingles of either side of a block.
+BLOCK = 50_000
 #: Near copies: words of a shingle; a Jaccard of SHARED / PARTS.
 SHINGLE = 5
 SHARED, PARTS = 4, 5
@@ -294,7 +297,10 @@ def _vertex(spec: Spec):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """vertex, root (the smallest vertex) of each vertex that has a link, by alternating large and small stars."""
+    """vertex, root (the smallest vertex) of each vertex that has a link, by alternating large and small stars.
+
+    Each round's table replaces that of the round before; the last one stays, for what is returned.
+    """
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -304,10 +310,11 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.join_unique(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        e = common.stored(small, "links")
+        previous, e = e, common.stored(small, "links")
+        common.discard(previous)
         after = state(e)
         if after == before:
             break
@@ -315,16 +322,22 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())
 
 
+def _component_ids(own: DataFrame, vertices: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """own (stored, with vertex) with component_id, the smallest least of the vertices (vertex, least) that links join."""
+    named = vertices.select("vertex", "least").join(components(links), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    named = common.stored(named, name)
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = common.stored(common.join_unique(named.select("vertex", "root"), least, "root").select("vertex", "component_id"), f"{name}-ids")
+    return common.join_unique(own, ids, "vertex")
+
+
 def near_duplicates(docs: DataFrame, spec: Spec = QUERY) -> DataFrame:
     """doc_id, the fingerprints and component_id, for each row."""
-    own = common.stored(fingerprints(docs, spec).withColumn("vertex", _vertex(spec)), "simhash")
-    vertices = common.stored(own.groupBy("vertex", *[c for c in spec.columns]).agg(F.min("doc_id").alias("least")), "simhash-vertices")
-    roots = components(links(vertices, spec))
-    named = vertices.select("vertex", "least").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    named = common.stored(named, "simhash-roots")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.select("vertex", "root").join(least, "root").select("vertex", "component_id")
-    return own.join(ids, "vertex").select("doc_id", *spec.columns, "component_id")
+    with common.scratch(docs.sparkSession):
+        own = common.stored(fingerprints(docs, spec).withColumn("vertex", _vertex(spec)), "simhash", batch=common.WIDE_ROWS)
+        vertices = common.stored(own.groupBy("vertex", *[c for c in spec.columns]).agg(F.min("doc_id").alias("least")), "simhash-vertices")
+        found = _component_ids(own, vertices, links(vertices, spec), "simhash-roots")
+        return common.stored(found.select("doc_id", *spec.columns, "component_id"), "simhash-found", outlives=True)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -388,14 +401,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     many = common.stored(pairs.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("v", F.ceil(F.col("n") / HOT).cast("int").alias("fan")), "near-fans")
     fan = F.coalesce("fan", F.lit(1))
     right = sets.withColumnRenamed("vertex", "v").join(many, "v", "left").select("v", F.explode(F.sequence(F.lit(0), fan - 1)).alias("salt"), F.col("shingles").alias("b"))
-    left = pairs.join(many, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), fan).cast("int").alias("salt"))
+    left = common.join_unique(pairs, many, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), fan).cast("int").alias("salt"))
     left = left.join(sets.select(F.col("vertex").alias("u"), F.col("shingles").alias("a")), "u")
     both = F.size(F.array_intersect("a", "b"))
     return left.join(right, ["v", "salt"]).where(both * (PARTS + SHARED) >= (F.size("a") + F.size("b")) * SHARED).select("u", "v")
 
 
-def _met_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components among the members (key, vertex, root, apart: not of the leader's component) of each key."""
+def _met_in_blocks(members: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Links between components among the members (key, vertex, size, root, apart: not of the leader's component) of each key.
+
+    known: key and n, its members.
+    """
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         name, root_of, sets = pdf.vertex.to_numpy(), pdf.root.tolist(), pdf.shingles.tolist()
@@ -410,46 +426,51 @@ def _met_in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
                 x = parent[x]
             return x
 
-        _, code = np.unique(np.concatenate(sets), return_inverse=True)
-        sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-        ends = np.cumsum(sizes)
-        answers = np.concatenate([code[ends[j] - sizes[j] : ends[j]] for j in b])
-        edges = np.concatenate([[0], np.cumsum(sizes[b])])
-        has = np.zeros(len(code) + 1, dtype=bool)
+        sizes = np.fromiter((len(sets[j]) for j in b), dtype=np.int64, count=len(b))
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        answers, code = np.unique(np.concatenate([sets[j] for j in b]), return_inverse=True)
+        code = code.astype(np.int32)
+        has = np.zeros(len(answers), dtype=np.int8)
         out = []
         for i in a:
-            own = code[ends[i] - sizes[i] : ends[i]]
-            has[own] = True
-            shared = np.diff(np.concatenate([[0], np.cumsum(has[answers])])[edges])
-            has[own] = False
-            for j in np.flatnonzero(shared * (PARTS + SHARED) >= (sizes[i] + sizes[b]) * SHARED):
+            at = np.searchsorted(answers, sets[i])
+            own = at[answers.take(at, mode="clip") == sets[i]] if len(answers) else at[:0]
+            has[own] = 1
+            shared = np.diff(np.concatenate([[0], np.cumsum(has[code], dtype=np.int64)])[edges])
+            has[own] = 0
+            for j in np.flatnonzero(shared * (PARTS + SHARED) >= (len(sets[i]) + sizes) * SHARED):
                 if (p := root(root_of[i])) != (q := root(root_of[b[j]])):
                     parent[q] = p
                     out.append((int(name[i]), int(name[b[j]])))
         return pd.DataFrame(out, columns=["u", "v"])
 
-    counts = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(F.col("apart").cast("int")) / BLOCK).cast("int").alias("askers"))
-    own = members.join(counts, "key")
+    share = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK).cast("int"))
+    asking = F.sum(F.when(F.col("apart"), F.col("size")))  # null: none asks
+    counts = members.groupBy("key").agg(share(F.sum("size")).alias("blocks"), F.when(asking.isNotNull(), share(asking)).alias("askers"))
+    own = common.stored(common.join_unique(members, counts, "key", counts=known), "near-blocks")
     dealt = lambda n: F.pmod(F.xxhash64("vertex"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     ask = own.where("apart").select("key", "vertex", "root", dealt("askers").alias("a"), every("blocks").alias("b"), F.lit(True).alias("asks"))
-    answer = own.select("key", "vertex", "root", dealt("blocks").alias("b"), every("askers").alias("a"), F.lit(False).alias("asks"))
+    answer = own.where("askers is not null").select("key", "vertex", "root", dealt("blocks").alias("b"), every("askers").alias("a"), F.lit(False).alias("asks"))
     both = ask.unionByName(answer).join(sets, "vertex").groupBy("key", "a", "b")
     return both.applyInPandas(meet, "u long, v long").distinct()
 
 
 def near_links(vertices: DataFrame, texts: DataFrame) -> DataFrame:
     """u, v: links between vertices (vertex, size, keys) that give the same components as all candidates that reach the similarity."""
-    every = vertices.select("vertex", "size", F.explode("keys").alias("key"))
-    lead = every.groupBy("key").agg(F.count("*").alias("n"), F.min_by(F.struct(F.col("vertex").alias("leader"), F.col("size").alias("leader_size")), F.xxhash64("vertex")).alias("l")).where("n > 1")
-    members = common.stored(every.join(lead.select("key", "n", "l.*"), "key"), "near-members")
-    sets = common.stored(_sets(texts, members.select("vertex").distinct()), "near-sets")
+    every = common.stored(vertices.select("vertex", "size", F.explode("keys").alias("key")), "near-keys")
+    lead = every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("vertex").alias("leader"), F.col("size").alias("leader_size"))).alias("l")).where("n > 1")
+    lead = common.stored(lead.select("key", "n", "l.*"), "near-lead")
+    members = common.stored(common.join_unique(every, lead, "key", counts=lead), "near-members")
+    common.discard(every)
+    sets = common.stored(_sets(texts, members.select("vertex").distinct()), "near-sets", batch=common.WIDE_ROWS)
     pairs = common.stored(members.where(F.col("vertex") != F.col("leader")).where(similar_sizes("size", "leader_size")).select(F.col("vertex").alias("u"), F.col("leader").alias("v")).distinct(), "near-pairs")
     led = common.stored(_verified(pairs, sets), "near-led")
     roots = common.stored(components(led), "near-roots")
-    rooted = members.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    rooted = common.stored(rooted.join(apart, "key", "left_semi").select("key", "vertex", "size", "root", "n", "leader"), "near-apart")
+    rooted = common.stored(members.join(roots, "vertex", "left").select("key", "vertex", "size", "n", "leader", F.coalesce("root", "vertex").alias("root")), "near-rooted")
+    # keys whose members aren't all of one component, with the component of their leader
+    several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.when(F.col("vertex") == F.col("leader"), F.col("root"))).alias("first")).where("a <> b").select("key", "first")
+    rooted = common.stored(common.join_unique(rooted, several, "key", counts=lead).select("key", "vertex", "size", "root", "n", (F.col("root") != F.col("first")).alias("apart")), "near-apart")
     few = rooted.where(F.col("n") <= HOT)
     x, y = few.alias("x"), few.alias("y")
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.vertex") > F.col("y.vertex")) & (F.col("x.root") != F.col("y.root")))
@@ -459,26 +480,22 @@ def near_links(vertices: DataFrame, texts: DataFrame) -> DataFrame:
     hot = rooted.where(F.col("n") > HOT)
     if hot.isEmpty():
         return found
-    first = hot.where(F.col("vertex") == F.col("leader")).select("key", F.col("root").alias("first"))
-    hot = common.stored(hot.join(first, "key").select("key", "vertex", "root", (F.col("root") != F.col("first")).alias("apart")), "near-hot")
-    return found.unionByName(_met_in_blocks(hot, sets))
+    return found.unionByName(common.stored(_met_in_blocks(hot, sets, lead), "near-met", batch=common.WIDE_ROWS))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id, the smallest doc_id of the near copies, for each row."""
-    texts = _texts(docs)
-    own = common.stored(_banded(texts), "near-banded")
-    vertices = common.stored(own.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "near-vertices")
-    roots = components(near_links(vertices, texts))
-    named = common.stored(vertices.select("vertex", "least").join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")), "near-named")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.select("vertex", "root").join(least, "root").select("vertex", "component_id")
-    return own.select("doc_id", "vertex").join(ids, "vertex").select("doc_id", "component_id")
+    with common.scratch(docs.sparkSession):
+        texts = _texts(docs)
+        own = common.stored(_banded(texts), "near-banded", batch=common.WIDE_ROWS)
+        vertices = common.stored(own.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "near-vertices")
+        found = _component_ids(own.select("doc_id", "vertex"), vertices, near_links(vertices, texts), "near-named")
+        return common.stored(found.select("doc_id", "component_id"), "near-copies", outlives=True)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component; of rows that share that doc_id, one."""
-    own = common.stored(near_copies(docs), "near-copies")
+    own = near_copies(docs)
     stays = own.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = stays.groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = docs.join(stays.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")

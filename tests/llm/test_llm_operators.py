@@ -659,7 +659,7 @@ def test_near_copies_by_kind_of_edit(spark, pairs):
     assert got == want
 
 
-@pytest.mark.parametrize(("hot", "block"), [(64, 512), (3, 4)])
+@pytest.mark.parametrize(("hot", "block"), [(64, 200_000), (3, 800)])
 def test_near_copies_are_exact_components(spark, monkeypatch, hot, block):
     """Chains and families around the similarity, with and without the hot way, as all pairs give them."""
     monkeypatch.setattr(simhash, "HOT", hot)
