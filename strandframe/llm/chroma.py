@@ -6,9 +6,12 @@ each window of WINDOW frames; three thresholds make two bits (a Gray code) of ea
 filters a packed integer per window. Two recordings are aligned by the histogram of offsets at which
 they hold equal integers; the bits that differ over the overlap at the best offset decide.
 
-The search joins integers of the queries with those of all recordings. Integers that more than HOT
-recordings hold aren't joined: their recordings are compared in blocks with the queries that hold
-one, so nothing is lost and no task gathers them.
+The histogram is made from runs of equal integers: two runs add a trapezoid, so long silences cost as much
+as one integer; integers with very many runs in both recordings are correlated by a Fourier transform.
+
+The search joins distinct integers of the queries with those of all recordings. Integers that more than HOT
+recordings hold aren't joined: the queries that hold one are compared, in blocks, with the recordings that
+hold one, and aligned with those that share an integer, so nothing is lost and no task gathers them.
 
 Defined results: null or too few samples (under WINDOW frames) give no integers and no match; samples
 that are null or not finite count as 0; silence gives frames of zeros; ties between offsets go to the
@@ -41,6 +44,10 @@ HOT = 256
 #: Equal integers at one offset, and share of differing bits, that make a match.
 LEAST_EQUAL, MOST_DIFFERENT = 3, 0.3
 BLOCK = 512
+#: Recordings that one task fingerprints.
+TASK_ROWS = 2000
+#: Run pairs of an integer, per integer of the recordings, from which a Fourier transform is cheaper.
+MANY_RUNS = 8
 #: Tones a worker has made: one for each whole pitch of four octaves.
 _NOTES: dict[tuple[int, int], np.ndarray] = {}
 
@@ -116,16 +123,49 @@ def pack(chroma: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code, begin and length of each run of equal codes, by code."""
+    begins = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    lengths = np.diff(np.concatenate([begins, [len(codes)]]))
+    order = np.argsort(codes[begins], kind="stable")
+    return codes[begins][order], begins[order], lengths[order]
+
+
+def offset_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many i have a[i] == b[i + offset], for offsets from 1 - len(a) to len(b) - 1."""
+    if not len(a) or not len(b):
+        return np.zeros(max(0, len(a) + len(b) - 1), dtype=np.int64)
+    total = len(a) + len(b)
+    (ca, ba, la), (cb, bb, lb) = _runs(a), _runs(b)
+    lo, hi = np.searchsorted(cb, ca, "left"), np.searchsorted(cb, ca, "right")
+    codes, times = np.unique(ca, return_counts=True)
+    many = codes[times * (hi - lo)[np.searchsorted(ca, codes)] > MANY_RUNS * total]
+    counts = np.zeros(total - 1, dtype=np.int64)
+    for code in many:
+        size = 1 << total.bit_length()
+        product = np.fft.rfft((b == code).astype(float), size) * np.fft.rfft((a == code)[::-1].astype(float), size)
+        counts += np.rint(np.fft.irfft(product, size)[: total - 1]).astype(np.int64)
+    # the others, run by run: the second difference of a trapezoid has four ends
+    bend = np.zeros(total + 1, dtype=np.int64)
+    keep = np.flatnonzero((hi > lo) & ~np.isin(ca, many))
+    for k in range(0, len(keep), 1024):
+        part = keep[k : k + 1024]
+        n = hi[part] - lo[part]
+        x = np.repeat(part, n)
+        y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[x]
+        first = bb[y] - ba[x] - la[x] + len(a)
+        for at, sign in ((first, 1), (first + la[x], -1), (first + lb[y], -1), (first + la[x] + lb[y], 1)):
+            bend += sign * np.bincount(at, minlength=total + 1)
+    return counts + bend.cumsum().cumsum()[: total - 1]
+
+
 def best_offset(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     """(offset, equal integers there, share of differing bits over the overlap): b[i + offset] against a[i]."""
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    offsets = np.concatenate([order[x:y] - i for i, (x, y) in enumerate(zip(lo, hi))]) if len(a) else np.empty(0, int)
-    if not len(offsets):
+    counts = offset_counts(a, b)
+    if not counts.any():
         return 0, 0, 1.0
-    values, counts = np.unique(offsets, return_counts=True)
-    best = int(values[counts.argmax()])
-    return best, int(counts.max()), differing(a, b, best)
+    best = int(counts.argmax())
+    return best + 1 - len(a), int(counts[best]), differing(a, b, best + 1 - len(a))
 
 
 def differing(a: np.ndarray, b: np.ndarray, offset: int) -> float:
@@ -151,32 +191,60 @@ def render(vector: np.ndarray, note: int = 1378) -> np.ndarray:
     return np.concatenate([_note(p, note) for p in pitch.tolist()]) if len(x) else np.empty(0)
 
 
+def versions(vectors: DataFrame, every: int = 50) -> DataFrame:
+    """vectors (id, vector) with base and kind: each id after one divisible by every is a version of that one.
+
+    The kinds, in turn: 1 delayed, 2 noisy, 3 cut, 4 all of it; see version().
+    """
+    rows = common.plain(vectors, {"id": "long", "vector": "array<double>"})
+    base = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("vector").alias("base")).select((F.col("id") + 1).alias("id"), "base")
+    return rows.join(base, "id", "left").withColumn("kind", F.when(F.col("base").isNotNull(), 1 + F.pmod(F.floor(F.col("id") / every), F.lit(4))).otherwise(0).cast("int"))
+
+
+def version(own: np.ndarray, base: np.ndarray, kind: int, seed: int, note: int = 1378) -> np.ndarray:
+    """A version of the base recording (kind 0: the own recording)."""
+    if kind == 0:
+        return own
+    noise = np.random.default_rng(abs(seed)).standard_normal
+    if kind == 1:  # five notes of its own come first
+        return np.concatenate([own[: 5 * note], base])
+    if kind == 2:
+        return base + 0.1 * noise(len(base))
+    if kind == 3:  # without the first quarter and the last eighth
+        return base[len(base) // 4 : len(base) - len(base) // 8]
+    made = np.concatenate([own[: 7 * note], base[len(base) // 5 :]])
+    return made + 0.05 * noise(len(made))
+
+
 def fingerprints(recordings: DataFrame, source: str = "samples") -> DataFrame:
-    """recordings: id and samples (array of numbers); with source 'vector' an array that is rendered first. id, codes."""
+    """recordings: id and samples (array of numbers); with source 'vector' what versions() returns, which is rendered first. id, codes."""
+
+    def numbers(values) -> np.ndarray:
+        return np.array([0.0 if v is None else v for v in values.as_py() or []], dtype=np.float64)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
                 codes = []
-                for values in part.column(1):
-                    x = np.array([0.0 if v is None else v for v in values.as_py() or []], dtype=np.float64)
-                    codes.append(pack(frames(render(x) if source == "vector" else x)))
+                for id_, values, base, kind in zip(*part.columns):
+                    x = numbers(values)
+                    if source == "vector":
+                        x = version(render(x), render(numbers(base)), kind.as_py() or 0, id_.as_py())
+                    codes.append(pack(frames(x)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.list_(pa.int64()))], names=["id", "codes"])
 
-    rows = common.plain(recordings, {"id": "long", source: "array<double>"}).where("id is not null")
-    made = rows.mapInArrow(make, "id long, codes array<long>")
-    return made.groupBy("id").agg(F.min("codes").alias("codes"))
+    rows = common.plain(recordings, {"id": "long", source: "array<double>", "base": "array<double>", "kind": "int"}).where("id is not null")
+    dealt = rows.repartition(max(1, -(-rows.count() // TASK_ROWS)), "id")
+    return dealt.mapInArrow(make, "id long, codes array<long>").groupBy("id").agg(F.min("codes").alias("codes"))
 
 
 def search(prints: DataFrame, every: int = 50) -> DataFrame:
     """query_id, id, offset, equal, bit_error of each match of a query (id divisible by every) among all recordings."""
-    held = prints.select("id", F.posexplode("codes").alias("at", "code"))
-    asked = held.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("at").alias("query_at"), "code")
-    hot = common.stored(held.groupBy("code").agg(F.count_distinct("id").alias("n")).where(F.col("n") > HOT), "chroma-hot")
-    met = asked.join(held.join(hot.select("code"), "code", "left_anti"), "code").groupBy("query_id", "id", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("equal"))
-    pairs = met.groupBy("query_id", "id").agg(F.min(F.struct((-F.col("equal")).alias("equal"), "offset")).alias("b"))
-    pairs = pairs.select("query_id", "id", F.col("b.offset").alias("offset"), (-F.col("b.equal")).alias("equal"))
+    held = prints.select("id", F.explode(F.array_distinct("codes")).alias("code"))
+    asked = held.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "code")
+    hot = common.stored(held.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "chroma-hot")
+    pairs = asked.join(held.join(hot.select("code"), "code", "left_anti"), "code").select("query_id", "id").distinct()
     codes = prints.select("id", "codes")
     both = pairs.join(codes, "id").join(codes.select(F.col("id").alias("query_id"), F.col("codes").alias("query_codes")), "query_id")
     schema = "query_id long, id long, offset long, equal long, bit_error double"
@@ -205,12 +273,15 @@ def search(prints: DataFrame, every: int = 50) -> DataFrame:
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        others = [(i, np.array(c)) for i, c in zip(b.id, b.codes)]
+        ids, others = b.id.tolist(), [np.array(c) for c in b.codes]
+        distinct = [np.unique(c) for c in others]
+        owner = np.repeat(np.arange(len(others)), [len(c) for c in distinct])
+        every_code = np.concatenate([*distinct, np.empty(0, dtype=np.int64)])
         for q, qc in zip(a.query_id, map(np.array, a.query_codes)):
-            for i, c in others:
-                offset, equal, error = best_offset(qc, c)
+            for k in np.unique(owner[np.isin(every_code, qc)]).tolist():  # those that share an integer
+                offset, equal, error = best_offset(qc, others[k])
                 if equal >= LEAST_EQUAL and error <= MOST_DIFFERENT:
-                    out.append((q, i, offset, equal, error))
+                    out.append((q, ids[k], offset, equal, error))
         return pd.DataFrame(out, columns=["query_id", "id", "offset", "equal", "bit_error"])
 
     warm = left.groupBy("qb", "b").cogroup(right.groupBy("qb", "b")).applyInPandas(meet, schema)

@@ -1,18 +1,23 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is read once into blocks of text, each with its tag path: the names (and classes) of the
-elements from the root to the block. Text length, punctuation and number of blocks are summed
-per path; their ratios, given back to the blocks, are smoothed along the page, fused (geometric mean)
-and averaged per path again; paths above a share of the page's mean are selected. The element that holds
-the selected blocks is the article's container, and all its blocks are the main text, short ones too,
-but for what elements of other kinds hold: menus, headers, footers, sidebars, notices, adverts, forms,
-comments, scripts, styles, hidden elements. Those elements never count in the ratios.
+elements from the root to the block. Text length outside links, punctuation and number of blocks are
+summed per path; their ratios, given back to the blocks, are smoothed along the page, fused (geometric mean),
+averaged per path again and multiplied by the path's share of text outside links. Two thresholds on
+that, as shares of the page's mean, decide. A path above HIGH is main text wherever it lies. A path above LOW
+(headings, captions, short items) is main text within the container of the others: the element that holds
+80 % of them, or the article around it where an element or its name marks one; then nothing outside
+counts. Paths below LOW, such as lists of links, are never main text.
+
+Elements that hold something else by their kind or name (menus, headers, footers, sidebars, notices, adverts,
+comments, hidden elements) make paths of their own, of ratio zero. The text of scripts, styles, buttons and
+other controls isn't a block at all.
 
 Defined results: a null or empty html, one without text and one with nothing but such elements give an
-empty text; tags that aren't closed, or closed twice, are tolerated as browsers do; a tag that the
-page's end cuts off is dropped; rows are independent, so repeated rows give repeated results; a null
-page_id or url stays null; an empty table gives an empty result; other columns are ignored. Time and
-memory grow with a page's length alone.
+empty text; a page whose text is all in links is read as if it weren't; tags that aren't closed, or closed
+twice, are tolerated as browsers do; a tag that the page's end cuts off is dropped; rows are independent, so
+repeated rows give repeated results; a null page_id or url stays null; an empty table gives an empty result;
+other columns are ignored. Time and memory grow with a page's length alone, however deep its elements lie.
 """
 
 from __future__ import annotations
@@ -52,6 +57,8 @@ CLOSES = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 KEEP_P = frozenset("li dt dd option tr td th tbody tfoot thead caption legend summary".split())
+#: Elements whose text is no block.
+CONTROL = frozenset("head button select option optgroup svg canvas object audio video template label datalist map".split())
 #: Elements that never hold main text.
 OTHER = frozenset("head nav aside footer form button select option optgroup input textarea dialog menu svg canvas object audio video template label datalist map math script style noscript iframe".split()) - {"math"}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -62,6 +69,8 @@ BOILERPLATE = frozenset(
     "notification pager pagination paywall popup promo promoted promotion recommended recommendations related replies respond responses rail search share sharing sidebar sidebars signup "
     "skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
+#: Thresholds of a path's ratio, as shares of the page's mean by characters.
+HIGH, LOW = 0.5, 0.002
 #: Words that tell that the class names the layout and not the element.
 LAYOUT = frozenset("has with without no is not".split())
 #: Whole class names and ids of elements that hold the article.
@@ -110,52 +119,79 @@ def _kind(tag: str, raw: str, cache: dict) -> tuple[str, bool, bool]:
 
 
 class Block:
-    __slots__ = ("links", "path", "text", "within")
+    __slots__ = ("links", "node", "path", "text")
 
-    def __init__(self, path: str, text: str, links: int, within: tuple[int, ...]):
-        self.path, self.text, self.links, self.within = path, text, links, within
+    def __init__(self, node: int, path: int, text: str, links: int):
+        self.node, self.path, self.text, self.links = node, path, text, links
 
 
-def blocks(page: str) -> tuple[list[Block], list[str]]:
-    """The blocks that may be main text, in page order, and the kind of each element by its number."""
+class Tree:
+    """The block elements of a page by number: parent (-1: none), path, kind. A child has a larger number than its parent."""
+
+    def __init__(self):
+        self.parent: list[int] = [-1]
+        self.kind: list[str] = [""]
+        self.path: list[int] = [0]
+        #: Paths whose elements hold something else.
+        self.zero: set[int] = set()
+        self._paths: dict[tuple[int, str, bool], int] = {}
+
+    def add(self, parent: int, kind: str, label: str, zero: bool) -> int:
+        path = self._paths.setdefault((self.path[parent], label, zero), len(self._paths) + 1)
+        if zero:
+            self.zero.add(path)
+        self.parent.append(parent)
+        self.kind.append(kind)
+        self.path.append(path)
+        return len(self.parent) - 1
+
+
+class _Open:
+    """An open element: what holds for the text in it."""
+
+    __slots__ = ("article", "drop", "header", "heading", "link", "node", "other", "tag")
+
+    def __init__(self, tag, node=0, other=False, drop=False, link=False, header=False, heading=False, article=False):
+        self.tag, self.node, self.other, self.drop, self.link, self.header, self.heading, self.article = tag, node, other, drop, link, header, heading, article
+
+
+def blocks(page: str) -> tuple[list[Block], Tree]:
+    """The blocks in page order, and the elements that hold them."""
     out: list[Block] = []
-    tags: list[str] = []
+    tree = Tree()
     cache: dict = {}
-    # open elements: tag, path, number, holds something else, is in a link, is in a header
-    stack: list[tuple[str, str, int, bool, bool, bool]] = []
+    stack: list[_Open] = [_Open("")]
+    opened: dict[str, int] = {}
     text: list[str] = []
     links = 0
-    where: tuple[str, tuple[int, ...]] | None = None
+    where = 0
 
     def flush() -> None:
-        nonlocal links, where
+        nonlocal links
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                out.append(Block(where[0], joined, links, where[1]))
+                out.append(Block(where, tree.path[where], joined, min(links, len(joined))))
             text.clear()
-        links, where = 0, None
+        links = 0
 
     def add(raw: str) -> None:
         nonlocal links, where
-        if not raw:
-            return
-        if stack and stack[-1][3]:
+        top = stack[-1]
+        if not raw or top.drop:
             return
-        if stack and stack[-1][5] and not any(e[0] in HEADINGS for e in stack):
-            return
-        if where is None:
-            at = len(stack)
-            while at and stack[at - 1][0] not in BLOCK:
-                at -= 1
-            where = (stack[at - 1][1] if at else "", tuple(e[2] for e in stack[:at]))
+        if not text:
+            where = top.node
         text.append(raw)
-        if stack and stack[-1][4]:
+        if top.link:
             links += len(raw.strip())
 
     def close(upto: int) -> None:
-        if any(e[0] in BLOCK for e in stack[upto:]):
+        gone = stack[upto:]
+        if any(e.tag in BLOCK for e in gone):
             flush()
+        for e in gone:
+            opened[e.tag] -= 1
         del stack[upto:]
 
     at, lowered = 0, None
@@ -171,12 +207,13 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             continue
         tag = name.lower()
         if m[1]:  # an end tag
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break
+            if opened.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
+                    if tag not in BLOCK and stack[k].tag in BLOCK:
+                        break
             continue
         if tag in RAW:
             lowered = page.lower() if lowered is None else lowered
@@ -188,20 +225,20 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
             at = len(page) if end < 0 else end
             continue
         if tag in BLOCK:
-            if tag not in KEEP_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
+            if tag not in KEEP_P and opened.get("p"):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "p":
                         close(k)
                         break
-                    if stack[k][0] in BLOCK:
+                    if stack[k].tag in BLOCK:
                         break
-            if tag in CLOSES:
+            if tag in CLOSES and any(opened.get(t) for t in CLOSES[tag][0]):
                 shuts, stops = CLOSES[tag]
                 first = None
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in stops:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in stops:
                         break
-                    if stack[k][0] in shuts:
+                    if stack[k].tag in shuts:
                         first = k
                 if first is not None:
                     close(first)
@@ -211,19 +248,25 @@ def blocks(page: str) -> tuple[list[Block], list[str]]:
                 add(" ")
             continue
         label, other, named = _kind(tag, m[3] or "", cache)
-        above = stack[-1] if stack else ("", "", -1, False, False, False)
-        header = above[5]
-        if tag == "header" and not above[3]:
-            if any(e[0] in ("article", "main") for e in stack):
-                header = True  # of the article: its headings stay
-            else:
-                other = True
-        tags.append(ARTICLE_NAME if named and tag in ("div", "section", "td") else tag)
         if (m[3] or "").endswith("/") and tag in ("svg", "path", "use"):
             continue
-        stack.append((tag, f"{above[1]}/{label}", len(tags) - 1, above[3] or other, above[4] or tag == "a", header))
+        top = stack[-1]
+        e = _Open(tag, top.node, top.other, top.drop or tag in CONTROL, top.link or tag == "a", top.header, top.heading or tag in HEADINGS, top.article or tag in ("article", "main"))
+        if tag == "header" and not top.other:
+            if top.article:
+                e.header = True  # of the article: its headings stay
+            else:
+                other = True
+        if tag in BLOCK:
+            e.other = top.other or other
+            kind = ARTICLE_NAME if named and tag in ("div", "section", "td") else tag
+            e.node = tree.add(top.node, kind, label, e.other or (e.header and not e.heading))
+        else:
+            e.drop = e.drop or other
+        opened[tag] = opened.get(tag, 0) + 1
+        stack.append(e)
     flush()
-    return out, tags
+    return out, tree
 
 
 def smooth(values: list[float]) -> list[float]:
@@ -240,59 +283,79 @@ def smooth(values: list[float]) -> list[float]:
     return out
 
 
-def select(found: list[Block], share: float = 0.5) -> set[str]:
-    """The paths whose fused, smoothed ratio reaches that share of the page's mean by characters; the best one always."""
-    sums: dict[str, list[float]] = {}
-    for b in found:
-        s = sums.setdefault(b.path, [0.0, 0.0, 0.0])
-        s[0] += len(b.text) - min(b.links, len(b.text))
+def ratios(found: list[Block], zero: set[int]) -> dict[int, float]:
+    """The smoothed, fused ratio of each path, as a share of the page's mean."""
+    out = dict.fromkeys((b.path for b in found), 0.0)
+    live = [b for b in found if b.path not in zero]
+    if not live:
+        return out
+    outside = [len(b.text) - b.links for b in live]
+    if not any(outside):
+        outside = [len(b.text) for b in live]
+    sums: dict[int, list[float]] = {}
+    for b, n in zip(live, outside):
+        s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
+        s[0] += n
         s[1] += len(_PUNCTUATION.findall(b.text))
         s[2] += 1
-    lengths = smooth([sums[b.path][0] / sums[b.path][2] for b in found])
-    marks = smooth([(1 + sums[b.path][1]) / sums[b.path][2] for b in found])
-    fused = [math.sqrt(x * y) for x, y in zip(lengths, marks)]
-    by_path: dict[str, list[float]] = {}
-    for b, f in zip(found, fused):
-        p = by_path.setdefault(b.path, [0.0, 0.0])
-        p[0] += f * len(b.text)
-        p[1] += len(b.text)
-    mean = sum(p[0] for p in by_path.values()) / sum(p[1] for p in by_path.values())
-    ratio = {path: p[0] / p[1] for path, p in by_path.items()}
-    best = max(ratio, key=lambda path: (ratio[path], path))
-    return {path for path, r in ratio.items() if r >= share * mean} | {best}
+        s[3] += len(b.text)
+    lengths = smooth([sums[b.path][0] / sums[b.path][2] for b in live])
+    marks = smooth([(1 + sums[b.path][1]) / sums[b.path][2] for b in live])
+    total = chars = 0.0
+    for b, x, y in zip(live, lengths, marks):
+        own = math.sqrt(x * y) * len(b.text)
+        out[b.path] += own
+        total += own
+        chars += len(b.text)
+    mean = total / chars
+    return {path: r and r / sums[path][3] * (sums[path][0] / sums[path][3]) / mean for path, r in out.items()}
+
+
+def select(ratio: dict[int, float]) -> tuple[set[int], set[int]]:
+    """The paths above HIGH (the best at least), and those above LOW."""
+    best = max(ratio.values(), default=0.0)
+    return {p for p, r in ratio.items() if 0 < r >= min(HIGH, best)}, {p for p, r in ratio.items() if r > LOW}
+
+
+def _within(tree: Tree, node: int) -> list[bool]:
+    """Whether each element is that one or lies in it."""
+    out = [k == node for k in range(len(tree.parent))]
+    for k in range(1, len(out)):
+        out[k] = out[k] or out[tree.parent[k]]
+    return out
+
+
+def _container(found: list[Block], tree: Tree, high: set[int]) -> tuple[int, bool]:
+    """The element that holds the selected blocks, and whether it is marked as the article."""
+    weight = [0] * len(tree.parent)
+    for b in found:
+        if b.path in high:
+            weight[b.node] += len(b.text) - b.links
+    if not any(weight):
+        return 0, False
+    for k in range(len(weight) - 1, 0, -1):
+        weight[tree.parent[k]] += weight[k]
+    # elements with most of the text lie in one another: the last is the deepest
+    node = max((k for k, n in enumerate(weight) if tree.kind[k] in CONTAINERS and n >= 0.8 * weight[0]), default=0)
+    around, k = [], node
+    while k > 0:
+        around.append(k)
+        k = tree.parent[k]
+    for kind in ("article", ARTICLE_NAME, "main"):
+        if marked := [k for k in around if tree.kind[k] == kind]:
+            return marked[-1], True
+    return node, False
 
 
 def main_text(page: str | None) -> str:
     """The main text: blocks in page order, one a line."""
     if not page:
         return ""
-    found, tags = blocks(page)
-    if not found:
-        return ""
-    chosen = select(found)
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for b in found:
-        if b.path in chosen:
-            n = max(0, len(b.text) - b.links)
-            total += n
-            for k, e in enumerate(b.within):
-                weight[e] = weight.get(e, 0) + n
-                depth[e] = k
-    inner = [e for e, n in weight.items() if tags[e] in CONTAINERS and n >= 0.8 * total]
-    if not inner:
-        return "\n".join(b.text for b in found if b.path in chosen)
-    container = max(inner, key=lambda e: (depth[e], weight[e], -e))
-    around = next(b.within for b in found if container in b.within)[: depth[container]]
-    for kind in ("article", ARTICLE_NAME, "main"):
-        outer = [e for e in around if tags[e] == kind]
-        if outer or tags[container] == kind:
-            container = outer[0] if outer else container
-            break
-    else:  # no markup says where the article ends: selected blocks outside stay
-        return "\n".join(b.text for b in found if container in b.within or b.path in chosen)
-    return "\n".join(b.text for b in found if container in b.within)
+    found, tree = blocks(page)
+    high, low = select(ratios(found, tree.zero))
+    node, marked = _container(found, tree, high)
+    inside = _within(tree, node)
+    return "\n".join(b.text for b in found if (b.path in low if inside[b.node] else not marked and b.path in high))
 
 
 def extract(pages: DataFrame) -> DataFrame:

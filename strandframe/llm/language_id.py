@@ -2,8 +2,8 @@
 
 Filters two, three and four bytes wide slide over UTF-8 bytes; the largest answer of each filter in
 a window (and zero) goes to a softmax layer. The network is trained here, in numpy, on windows
-of labelled documents: at most SAMPLE_DOCS of them, equally many of each language, WINDOWS_PER_DOC
-windows each, whatever the corpus. It is applied to the whole text: windows of WINDOW positions side
+of labelled documents: about SAMPLE_DOCS of them, equally many of each language and about LEAST_DOCS of each at
+least, WINDOWS_PER_DOC windows each, whatever the corpus. Every language with a label can be predicted. It is applied to the whole text: windows of WINDOW positions side
 by side, each document padded with zero bytes to a whole number of them. A document's probabilities
 are the mean over its windows, by their bytes.
 
@@ -34,8 +34,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Bounds of what trains the network, for any corpus.
 SAMPLE_DOCS = 3000
+LEAST_DOCS = 16
 WINDOWS_PER_DOC = 3
-MOST_LANGUAGES = 256
+#: So many languages are broadcast.
+BROADCAST_ROWS = 50_000
 STEPS = 500
 BATCH = 64
 
@@ -164,20 +166,19 @@ def fit(docs: DataFrame, seed: int = 5) -> Network | None:
     """Trains on the labelled documents that aren't held out."""
     rows = common.plain(docs, {"doc_id": "long", "text": "string", "lang": "string"})
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    # the one with the least hash comes in, whatever else is drawn
+    first = F.min(F.struct(F.xxhash64("doc_id", F.lit(seed)).alias("h"), "doc_id")).alias("first")
+    each = common.stored(rows.groupBy("lang").agg(F.count("*").alias("n"), first), "languages")
+    languages = each.count()
+    if not languages:
         return None
-    quota = SAMPLE_DOCS / len(counts)
-    chance = F.lit(0.0)
-    for lang, n in counts.items():
-        chance = F.when(F.col("lang") == lang, float(quota / n)).otherwise(chance)
+    quota = max(LEAST_DOCS, SAMPLE_DOCS // languages)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     size = F.lit(2 * WINDOW)
     stretches = [F.substring("text", 1 + F.pmod(F.xxhash64("doc_id", F.lit(seed + 1 + k)), F.greatest(F.length("text") - size, F.lit(1))).cast("int"), size) for k in range(WINDOWS_PER_DOC)]
-    sample = rows.where(draw < chance).select("doc_id", "lang", F.array(*stretches).alias("texts"))
-    got = sorted((r.doc_id, r.lang, tuple(r.texts)) for r in sample.limit(2 * SAMPLE_DOCS).collect())
-    if not got:  # so few that none was drawn
-        got = sorted((r.doc_id, r.lang, tuple(r.texts)) for r in rows.select("doc_id", "lang", F.array(*stretches).alias("texts")).limit(SAMPLE_DOCS).collect())
+    sample = rows.join(F.broadcast(each) if languages <= BROADCAST_ROWS else each, "lang")
+    sample = sample.where((draw < F.lit(float(quota)) / F.col("n")) | (F.col("doc_id") == F.col("first.doc_id")))
+    got = sorted((r.doc_id, r.lang, tuple(r.texts)) for r in sample.select("doc_id", "lang", F.array(*stretches).alias("texts")).collect())
     return train([t for _, _, texts in got for t in texts], [lang for _, lang, texts in got for _ in texts], seed)
 
 

@@ -1,7 +1,7 @@
 """Packing token sequences: first-fit decreasing over a tournament tree, in randomised groups.
 
-Documents are dealt to groups of about GROUP_DOCS by a seeded hash; groups are packed apart from
-each other. Within a group each document is cut into full sequences and a remainder. The remainders,
+Documents are dealt to groups of about GROUP_DOCS documents and GROUP_CHARS characters at most by a seeded
+hash of id and text; groups are packed apart from each other. Within a group each document is cut into full sequences and a remainder. The remainders,
 longest first, go to the first bin with room for them; a tournament tree over the bins' free room
 finds it in a logarithmic number of steps. At last the emptiest bins are taken apart: their
 pieces are cut to fill the room left in the fullest ones, so a group pads one sequence at most.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandframe.llm import common, tokens
 
-GROUP_DOCS = 4096
+GROUP_DOCS, GROUP_CHARS = 4096, 16_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -97,17 +97,18 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[tuple[int, int, int,
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, seed: int = 17, group_docs: int = GROUP_DOCS, cache_entries: int = tokens.CACHE_ENTRIES) -> DataFrame:
-    """The pieces of all documents: SCHEMA. sequence_id is the group's number times 2**31 plus the bin. cache_entries: pieces of text whose ids a worker remembers."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, seed: int = 17, group_docs: int = GROUP_DOCS, cache_entries: int = tokens.CACHE_ENTRIES, slice_chars: int = tokens.SLICE_CHARS) -> DataFrame:
+    """The pieces of all documents: SCHEMA. sequence_id is the group's number times 2**31 plus the bin. cache_entries: pieces of text whose ids a worker remembers; slice_chars: characters it encodes at once."""
     rows = common.plain(docs, {"doc_id": "long", "text": "string"})
-    groups = max(1, -(-rows.count() // group_docs))
+    count, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    groups = max(1, -(-count // group_docs), -(-chars // GROUP_CHARS))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer, cache_entries)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            for a, b in tokens.in_slices(texts):
+            for a, b in tokens.in_slices(texts, slice_chars):
                 ids = pa.array([raw + end for raw in encoder.encode(texts[a:b])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), ids, pa.array([encoder.dtype.itemsize] * (b - a), pa.int32())], names=["grp", "doc_id", "ids", "itemsize"])
 
@@ -128,6 +129,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
             }
         )
 
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(groups)).cast("long").alias("grp"), "doc_id", "text")
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(groups)).cast("long").alias("grp"), "doc_id", "text")
     encoded = dealt.mapInArrow(encode, "grp long, doc_id long, ids binary, itemsize int")
     return encoded.groupBy("grp").applyInPandas(pack_group, SCHEMA)

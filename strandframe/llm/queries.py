@@ -53,9 +53,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each embedding rendered as a recording; every fiftieth is searched among all."""
+    """Each embedding rendered as a recording, the one after every fiftieth as a version of that; every fiftieth is searched among all."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return chroma.search(common.stored(chroma.fingerprints(vectors, "vector"), "chroma"))
+    return chroma.search(common.stored(chroma.fingerprints(chroma.versions(vectors), "vector"), "chroma"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

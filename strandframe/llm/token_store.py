@@ -134,7 +134,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
         try:
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for a, b in tokens.in_slices(texts):
+                for a, b in tokens.in_slices(texts, tokens.SLICE_CHARS):
                     rows = []
                     for doc_id, raw in zip(ids[a:b], encoder.encode(texts[a:b])):
                         if out is None:

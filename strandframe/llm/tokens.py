@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 
 #: Pieces a worker remembers, unless told otherwise; further pieces are encoded again each time they occur. An entry takes 150 bytes.
 CACHE_ENTRIES = 800_000
+#: Characters that are encoded at once, unless told otherwise.
+SLICE_CHARS = 4_000_000
 #: White space other than space and line feed, by either definition of white space.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Of these characters, letters, digits and white space are the same by any definition.
