@@ -241,7 +241,7 @@ def fingerprints(recordings: DataFrame, source: str = "samples") -> DataFrame:
 
 def search(prints: DataFrame, every: int = 50) -> DataFrame:
     """query_id, id, offset, equal, bit_error of each match of a query (id divisible by every) among all recordings."""
-    held = prints.select("id", F.explode(F.array_distinct("codes")).alias("code"))
+    held = common.stored(prints.select("id", F.explode(F.array_distinct("codes")).alias("code")), "chroma-codes")
     asked = held.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "code")
     hot = common.stored(held.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "chroma-hot")
     pairs = asked.join(held.join(hot.select("code"), "code", "left_anti"), "code").select("query_id", "id").distinct()
