@@ -78,17 +78,21 @@ class PieceEncoder:
         spaced: dict[str, None] = {}
         bare: dict[str, None] = {}
         cut: dict[str, list[str]] = {}
+        heads: dict[str, str] = {}  # what follows the space in a cut piece's first pre-token
         out: dict[str, bytes] = {}
+        known, known_bare = self.known, self.bare
         for p in pieces:
             if p.isalpha():
                 spaced[p] = None
             elif p and _PLAIN(p):
                 parts = cut[p] = _PRE_TOKENS(" " + p)
+                if first := parts[0][1:]:
+                    heads[p] = first
+                    if first not in known:
+                        spaced[first] = None
+                    del parts[0]
                 for x in parts:
-                    if x[0] == " " and len(x) > 1:
-                        if x[1:] not in self.known:
-                            spaced[x[1:]] = None
-                    elif x not in self.bare:
+                    if x not in known_bare:
                         bare[x] = None
             else:
                 out[p] = self._whole(" " + p)
@@ -96,15 +100,18 @@ class PieceEncoder:
         names = list(bare)
         loose = {x: np.array(e.ids, dtype=self.dtype).tobytes() for x, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False))} if names else {}
         for p, parts in cut.items():
-            ids = []
+            first = heads.get(p)
+            ids = (fresh.get(first) or known[first]) if first else b""
             for x in parts:
-                if x[0] == " " and len(x) > 1:
-                    ids.append(fresh[x[1:]] if x[1:] in fresh else self.known[x[1:]])
-                else:
-                    ids.append(loose[x] if x in loose else self.bare[x])
-            out[p] = b"".join(ids)
+                ids += loose.get(x) or known_bare[x]
+            out[p] = ids
         if len(self.bare) + len(loose) <= self.entries // 4:
             self.bare.update(loose)
+        # words are remembered before what is made of them, as long as there is room
+        room = self.entries - len(known)
+        known.update(itertools.islice(fresh.items(), max(0, room)))
+        room = self.entries // 2 - len(known)
+        known.update(itertools.islice(out.items(), max(0, room)))
         out.update(fresh)
         return out
 
@@ -124,31 +131,20 @@ class PieceEncoder:
         pieces = pc.split_pattern(pa.array([texts[k] for k in rows], pa.large_string()), " ")
         begins = np.asarray(pieces.offsets)
         coded = pieces.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.known.get, names))
         if missing := [n for n, x in zip(names, ids) if x is None]:
             fresh = self._learn(missing)
             ids = [fresh[n] if x is None else x for n, x in zip(names, ids)]
-            room = self.entries - len(self.known)
-            self.known.update(itertools.islice(fresh.items(), max(0, room)))
         first = []  # the first piece of a text has no space before it
         for k in begins[:-1]:
             p = names[coded.indices[int(k)].as_py()]
             if p not in self.bare and len(self.bare) < self.entries // 4:
                 self.bare[p] = self._whole(p) if p else b""
             first.append(self.bare[p] if p in self.bare else self._whole(p))
-        codes = np.array(coded.indices, dtype=np.int64)
-        codes[begins[:-1]] = len(ids) + np.arange(len(first))
-        ids += first
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.dtype.itemsize
-        pool = np.frombuffer(b"".join(ids), dtype=self.dtype)
-        count = size[codes]
-        upto = np.concatenate([[0], np.cumsum(count)])
-        source = np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], count)
-        source += np.arange(len(source))
-        joined, edges = pool[source].tobytes(), (upto[begins] * self.dtype.itemsize).tolist()
-        for k, a, b in zip(rows, edges, edges[1:]):
-            out[k] = joined[a:b]
+        codes, get = coded.indices.to_numpy(zero_copy_only=False), ids.__getitem__
+        for k, x, a, b in zip(rows, first, begins, begins[1:]):
+            out[k] = x + b"".join(map(get, codes[a + 1 : b].tolist()))
         return out
 
 
