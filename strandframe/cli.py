@@ -27,8 +27,9 @@ def _parser(command: str) -> argparse.ArgumentParser:
     p = _Parser(prog=f"strandframe {command}", add_help=False)
     p.add_argument("--help", action="help", help="print this help and exit")
     p.add_argument("-S", dest="sam", action="store_true", help="input is SAM")
-    p.add_argument("input", help="input SAM/BAM file")
+    p.add_argument("input", help="input SAM/BAM file or folder; - is standard input")
     if command == "filter":
+        p.add_argument("-o", dest="folder", help="write a folder of parts instead of standard output: BAM files with -b or -u, else SAM lines without header")
         for flag, name in (("-b", "bam"), ("-u", "uncompressed"), ("-h", "header"), ("-k", "keep_unmapped"), ("-v", "invert")):
             p.add_argument(flag, dest=name, action="store_true")
         for flag, name in (("-l", "min_length"), ("-p", "percent_identity"), ("--ppt", "ppt"), ("-z", "min_query_percent")):
@@ -88,17 +89,30 @@ def run(arguments: list[str], spark=None) -> int:
     return 0
 
 
+def _input(o, spark):
+    """(alignments, header, a function that gives the first records)."""
+    from strandframe.plans import commands
+
+    path = commands.received(spark) if o.input == "-" else o.input
+    df, header = commands.read(spark, path, o.sam)
+    return df, header, lambda: commands.first_records(spark, path, header, o.sam)
+
+
 def _filter(o, arguments, spark) -> None:
     from strandframe.operators.filter import FilterOptions
     from strandframe.plans import commands
     from strandframe.sinks import provenance, text
-    from strandframe.sources import bam
+    from strandframe.sources import bam, sam
 
     options = FilterOptions(o.min_length, o.percent_identity, o.ppt, o.min_query_percent, o.invert, o.keep_unmapped, o.rescore, o.besthit, o.uniqhit)
-    df, header = commands.read(spark or _session(), o.input, o.sam)
-    rows, check = commands.filter_plan(df, header, options)
+    df, header, first = _input(o, spark or _session())
+    rows, check = commands.filter_plan(df, header, options, first() if options.needs_grouping else None)
     header = provenance.add_program(header, arguments, check)
-    if o.bam or o.uncompressed:
+    if o.folder and (o.bam or o.uncompressed):
+        bam.write_folder(rows, header, o.folder, 0 if o.uncompressed else 6)
+    elif o.folder:
+        sam.sam_lines(rows).write.text(o.folder)
+    elif o.bam or o.uncompressed:
         with text.opened("-") as out:
             bam.write_bam(out, header, rows.toLocalIterator(), 0 if o.uncompressed else 6)
     else:
@@ -119,9 +133,10 @@ def _profile(o, arguments, spark) -> None:
     by_prefix(o.multi, MULTI, "--multi")
     by_prefix(o.unit, UNITS, "--unit")
     spark = spark or _session()
-    df, header = commands.read(spark, o.input, o.sam)
-    made, check = commands.profile_plan(spark, df, header, o.genome, multi=o.multi, unit=o.unit, total=o.total, mincount=o.mincount, nolen=o.nolen)
+    df, header, first = _input(o, spark)
+    made, check = commands.profile_plan(spark, df, header, o.genome, first(), multi=o.multi, unit=o.unit, total=o.total, mincount=o.mincount, nolen=o.nolen)
     text.write_lines(o.output, text.profile_text(made, o.label, provenance.profile_comments(arguments, check), not o.no_pandas), compressed=True)
+    made.release()
 
 
 def _coverage(o, arguments, spark) -> None:
@@ -132,7 +147,7 @@ def _coverage(o, arguments, spark) -> None:
     if o.words < 1:
         raise ValueError("-w must be a non-zero positive integer")
     spark = spark or _session()
-    df, header = commands.read(spark, o.input, o.sam)
+    df, header, _ = _input(o, spark)
     lines = text.coverage_summary_text(commands.coverage_plan(spark, df, header, o.skip)) if o.summary else text.coverage_text(df, sam.refs_frame(spark, header), o.words, o.skip)
     text.write_lines(o.output, lines, compressed=True)
 
@@ -144,7 +159,7 @@ def _summary(o, arguments, spark) -> None:
 
     summary.check_options(o.edge, o.stats, o.count)
     spark = spark or _session()
-    df, header = commands.read(spark, o.input, o.sam)
+    df, header, _ = _input(o, spark)
     made = commands.summary_plan(spark, df, header, o.edge, o.stats, o.count)
     lines = [str(made.first()[0])] if o.count else text.histogram_text(made) if o.stats else text.summary_text(made)
     text.write_lines("-", lines)

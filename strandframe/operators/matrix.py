@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_DOUBLE = -1.7976931348623157e308
+#: The decimal logarithm of 2 that scores are divided by. Fixed value.
+TENTH_OF_TWO = 0.301029995664
 
 
 def transpose(m: DataFrame) -> DataFrame:
@@ -32,8 +34,13 @@ def fill(m: DataFrame, value: float = 0.0) -> DataFrame:
     return mapped(m, lambda v: F.lit(value))
 
 
+def ln(x: Column) -> Column:
+    """Natural logarithm as floating point has it: -Infinity of 0, not a number below 0."""
+    return F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
+
+
 def log(m: DataFrame) -> DataFrame:
-    return mapped(m, F.ln)
+    return mapped(m, ln)
 
 
 def shape(m: DataFrame) -> tuple[int, int]:
@@ -107,10 +114,19 @@ def sample_stdev(a: Column) -> Column:
 
 
 def kl_divergence(p: Column, q: Column, skip: int = 0) -> Column:
-    """Natural logarithm; the first skip entries are left out; a zero in p adds nothing."""
+    """Natural logarithm; the first skip entries are left out. Vectors of different length are an error.
+
+    Zeros count as floating point has them: one in q gives Infinity, one in p (0 times the logarithm of 0) not a number.
+    """
+
+    def term(x: Column, y: Column) -> Column:
+        value = x * F.ln(x / F.nullif(y, F.lit(0.0)))
+        return F.when((x > 0) & (y == 0), F.lit(float("inf"))).when((x > 0) & (y > 0), value).otherwise(F.lit(float("nan")))
+
     n = F.size(p) - skip
-    pairs = F.zip_with(F.slice(p, skip + 1, n), F.slice(q, skip + 1, n), lambda x, y: F.when(x > 0, x * F.ln(x / F.nullif(y, F.lit(0.0)))).otherwise(0.0))
-    return vector_sum(pairs)
+    total = vector_sum(F.zip_with(F.slice(p, skip + 1, n), F.slice(q, skip + 1, n), term))
+    wrong = F.raise_error(F.concat(F.lit("Vectors of different lengths: "), F.size(p), F.lit(" and "), F.size(q))).cast("double")
+    return F.when(F.size(p) != F.size(q), wrong).otherwise(total)
 
 
 def js_divergence(p: Column, q: Column, skip: int = 0) -> Column:
@@ -119,7 +135,8 @@ def js_divergence(p: Column, q: Column, skip: int = 0) -> Column:
 
 
 def js_distance(p: Column, q: Column, skip: int = 0) -> Column:
-    return F.sqrt(F.greatest(js_divergence(p, q, skip), F.lit(0.0)))
+    d = js_divergence(p, q, skip)
+    return F.when(d < 0, 0.0).otherwise(F.sqrt(d))
 
 
 def safe_log(x: Column) -> Column:
@@ -127,8 +144,8 @@ def safe_log(x: Column) -> Column:
 
 
 def decibel_score(x: Column) -> Column:
-    """10 ln(x) / 0.30103; the least double for 0; an error below 0."""
-    return F.when(x == 0, F.lit(LEAST_DOUBLE)).when(x < 0, F.raise_error(F.lit("score of a negative number")).cast("double")).otherwise(10 * F.ln(x) / 0.30103)
+    """10 ln(x) / TENTH_OF_TWO; the least double for 0; an error below 0."""
+    return F.when(x == 0, F.lit(LEAST_DOUBLE)).when(x < 0, F.raise_error(F.lit("score of a negative number")).cast("double")).otherwise(10 * F.ln(x) / TENTH_OF_TWO)
 
 
 def last_not_above(sorted_values: Column, x: Column) -> Column:
@@ -137,4 +154,16 @@ def last_not_above(sorted_values: Column, x: Column) -> Column:
 
 
 def first_word(text: Column) -> Column:
-    return F.split_part(F.trim(text), F.lit(" "), F.lit(1))
+    """What comes before the first white space; empty if that is the first character."""
+    return F.regexp_extract(text, r"^[^ \t\n\x0B\f\r]*", 0)
+
+
+def group_name(text: Column, length: int) -> Column:
+    """The first length characters; of a text with a slash, half of them from its start and the rest from behind the slash."""
+    half, slash = length // 2, F.instr(text, "/")
+    return F.when(slash == 0, F.left(text, F.lit(length))).otherwise(F.concat(F.left(text, F.lit(half)), F.substring(text, slash + 1, F.lit(length - half))))
+
+
+def power(x: Column, y: Column, kind: str = "double") -> Column:
+    """x to the y; kind int or bigint cuts off the fraction."""
+    return F.pow(x, y).cast(kind)

@@ -19,7 +19,7 @@ UNITS = ("relative", "fpkm", "tpm", "abundance")
 MAX_STEPS = 19
 LEAST_DELTA = 1e-10
 SNAP = 1e-20
-#: Shared classes are iterated in the driver's memory up to so many (class, feature) pairs, else as DataFrames.
+#: Shared classes are iterated in the driver's memory up to so many (class, feature) pairs and features together, else as DataFrames.
 DRIVER_PAIRS = 5_000_000
 
 
@@ -43,6 +43,11 @@ class Profile:
     purged: float
     effective: float
     unknown_length: int | None
+    classes: DataFrame
+
+    def release(self) -> None:
+        """Gives back the memory of what the values are made of; to be called when they are written."""
+        self.classes.unpersist()
 
 
 def identity_features(refs: DataFrame) -> tuple[DataFrame, None]:
@@ -57,12 +62,12 @@ def genome_features(refs: DataFrame, genomes: DataFrame) -> tuple[DataFrame, Dat
     """
     last = genomes.groupBy("rname").agg(F.max_by("genome", "line_no").alias("genome"))
     first = genomes.groupBy("genome").agg(F.min("line_no").alias("fid"))
-    unknown = last.join(refs, "rname", "left_anti").select("rname").head(1)
-    if unknown:
-        raise ValueError(f"Sequence '{unknown[0].rname}' of the genome definition is not in the alignment header")
-    missing = refs.join(last, "rname", "left_anti").select("rname").head(1)
-    if missing:
-        raise ValueError(f"Target '{missing[0].rname}' has no genome in the genome definition")
+    both = last.join(refs.select("rname", F.lit(True).alias("_target")), "rname", "full")
+    unknown, missing = both.agg(F.min(F.when(F.col("_target").isNull(), F.col("rname"))), F.min(F.when(F.col("genome").isNull(), F.col("rname")))).first()
+    if unknown is not None:
+        raise ValueError(f"Sequence '{unknown}' of the genome definition is not in the alignment header")
+    if missing is not None:
+        raise ValueError(f"Target '{missing}' has no genome in the genome definition")
     placed = refs.join(last, "rname").join(first, "genome").select("tid", "fid", "genome", "tlen")
     features = first.join(placed.groupBy("fid").agg(F.sum("tlen").alias("feature_len")), "fid", "left")
     return features.select("fid", F.col("genome").alias("feature"), F.coalesce("feature_len", F.lit(0)).alias("feature_len")), placed.select("tid", "fid")
@@ -76,11 +81,11 @@ def insert_classes(df: DataFrame, feature_map: DataFrame | None = None) -> DataF
     return inserts.groupBy("fids").agg(F.count("*").alias("n"))
 
 
-def counts(classes: DataFrame) -> DataFrame:
-    """mapped, multi, unique: one row."""
+def counts(classes: DataFrame, *more: Column) -> DataFrame:
+    """mapped, multi, unique and more aggregates: one row."""
     size = F.size("fids")
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    return classes.agg(total(size >= 1).alias("mapped"), total(size > 1).alias("multi"), total(size == 1).alias("unique"))
+    return classes.agg(total(size >= 1).alias("mapped"), total(size > 1).alias("multi"), total(size == 1).alias("unique"), *more)
 
 
 def unique_counts(classes: DataFrame) -> DataFrame:
@@ -118,14 +123,18 @@ def _checkpoint_folder(spark) -> None:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandframe-"))
 
 
-def proportional_shares(classes: DataFrame, features: int, driver_pairs: int = DRIVER_PAIRS) -> tuple[DataFrame, float, int]:
-    """fid, value; purged inserts; steps. Iterates until the mean squared change is small or MAX_STEPS are done."""
+def proportional_shares(classes: DataFrame, features: int, driver_pairs: int = DRIVER_PAIRS, pairs: int | None = None) -> tuple[DataFrame, float, int]:
+    """fid, value; purged inserts; steps. Iterates until the mean squared change is small or MAX_STEPS are done.
+
+    pairs: (class, feature) pairs of the shared classes, if known.
+    """
     spark = classes.sparkSession
     schema = "fid bigint, value double"
     unique = unique_counts(classes)
     shared = classes.where(F.size("fids") > 1)
-    pairs = shared.agg(F.coalesce(F.sum(F.size("fids")), F.lit(0))).first()[0]
-    if pairs <= driver_pairs:
+    if pairs is None:
+        pairs = shared.agg(F.coalesce(F.sum(F.size("fids")), F.lit(0))).first()[0]
+    if pairs + features <= driver_pairs:
         t = shared.toArrow()
         lists = t.column("fids").combine_chunks()
         sizes = np.diff(np.asarray(lists.offsets)) if t.num_rows else np.empty(0, np.int64)
@@ -177,10 +186,11 @@ def profile(
     features, feature_map = identity_features(refs) if genomes is None else genome_features(refs, genomes)
     n_features, total_length = features.agg(F.count("*"), F.coalesce(F.sum("feature_len"), F.lit(0))).first()
     classes = insert_classes(df, feature_map).persist()
-    mapped, many, unique = counts(classes).first()
+    mapped, many, unique, pairs = counts(classes, F.coalesce(F.sum(F.when(F.size("fids") > 1, F.size("fids"))), F.lit(0))).first()
     purged = 0.0
     if multi == "proportional":
-        shares, purged, _ = proportional_shares(classes, max(1, n_features))
+        shares, purged, _ = proportional_shares(classes, max(1, n_features), pairs=pairs)
+        classes.unpersist()  # the shares are a table of their own
     else:
         shares = simple_shares(classes, multi)
     values = features.join(shares, "fid", "left").select("fid", "feature", "feature_len", F.coalesce("value", F.lit(0.0)).alias("value"))
@@ -203,7 +213,7 @@ def profile(
     rows = values.select(F.col("fid").alias("feature_ord"), "feature", "value")
     rows = rows.unionByName(df.sparkSession.range(1).select(F.lit(-1).cast("bigint").alias("feature_ord"), F.lit("Unknown").alias("feature"), F.lit(unknown).alias("value")))
     effective = mapped - purged - (many if multi == "ignore" else 0)
-    return Profile(in_unit(rows, unit, total or mapped), -1 if total is None else total, mapped, many, unique, purged, effective, unknown_length)
+    return Profile(in_unit(rows, unit, total or mapped), -1 if total is None else total, mapped, many, unique, purged, effective, unknown_length, classes)
 
 
 def in_unit(rows: DataFrame, unit: str, inserts: int) -> DataFrame:

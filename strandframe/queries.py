@@ -423,6 +423,27 @@ def kl_js_divergence(spark, sf_dir):
     return e.select("vec_id", F.round(matrix.kl_divergence(p, q), 6).alias("kl"), F.round(matrix.js_divergence(p, q), 6).alias("js"), F.round(matrix.js_distance(p, q), 6).alias("distance"))
 
 
+@query("kl_js_zeros", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(CAST(x AS DOUBLE), 0)) AS a, list_transform(list_reverse(embedding), lambda x: abs(CAST(x AS DOUBLE))) AS b FROM embeddings),
+v AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN a ELSE b END AS p, CASE WHEN vec_id % 3 = 1 THEN a ELSE b END AS q FROM e),
+k AS (SELECT vec_id, len(list_filter(p, lambda x: x = 0)) AS zp, len(list_filter(range(1, len(p) + 1), lambda i: p[i] > 0 AND q[i] = 0)) AS zq,
+      list_sum(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN p[i] > 0 AND q[i] > 0 THEN p[i] * ln(p[i] / q[i]) ELSE 0 END)) AS kl FROM v)
+SELECT vec_id, CASE WHEN zp > 0 THEN 'nan' WHEN zq > 0 THEN 'inf' END AS kl_class, CASE WHEN zp = 0 AND zq = 0 THEN round(kl, 6) END AS kl FROM k""", view=False)
+def kl_js_zeros(spark, sf_dir):
+    """Zeros in p of every third vector, in q of another."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.greatest(x.cast("double"), F.lit(0.0))).alias("a"), F.transform(F.reverse("embedding"), lambda x: F.abs(x.cast("double"))).alias("b"))
+    pick = lambda k: F.when(F.col("vec_id") % 3 == k, F.col("a")).otherwise(F.col("b"))
+    e = e.select("vec_id", pick(0).alias("p"), pick(1).alias("q")).select("vec_id", matrix.kl_divergence(F.col("p"), F.col("q")).alias("kl"))
+    class_ = F.when(F.isnan("kl"), "nan").when(F.col("kl") == float("inf"), "inf")
+    return e.select("vec_id", class_.alias("kl_class"), F.when(class_.isNull(), F.round("kl", 6)).alias("kl"))
+
+
+@query("matrix_log_zeros", f"{_M}SELECT i, j, CASE WHEN v = 0 THEN '-inf' WHEN v < 0 THEN 'nan' END AS log_class, CASE WHEN v > 0 THEN round(ln(v), 4) END AS v FROM (SELECT i, j, v - 12 AS v FROM m)", view=False)
+def matrix_log_zeros(spark, sf_dir):
+    m = matrix.log(matrix.mapped(_m(spark, sf_dir)[0], lambda v: v - 12))
+    class_ = F.when(F.isnan("v"), "nan").when(F.col("v") == float("-inf"), "-inf")
+    return m.select("i", "j", class_.alias("log_class"), F.when(class_.isNull(), F.round("v", 4)).alias("v"))
+
+
 @query("vector_statistics", "SELECT vec_id, round(list_avg(e), 6) AS mean, round(list_stddev_samp(e), 6) AS sd, round(list_min(e), 6) AS low, round(list_max(e), 6) AS high FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)", view=False)
 def vector_statistics(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))

@@ -54,10 +54,9 @@ def with_promoted_tags(df: DataFrame) -> DataFrame:
     return df.withColumns({"md": tag("MD:Z:"), "nm": tag("NM:i:").cast("int"), "as_score": tag("AS:i:").cast("int")})
 
 
-def read_sam(spark: SparkSession, path: str, header: Header | None = None) -> tuple[DataFrame, Header]:
-    """(alignments, header). A record of a sequence that the header lacks is an error when it is read."""
-    header = header or read_header(spark, path)
-    lines = spark.read.text(path).select("value", input_order().alias("ord")).where(~F.col("value").rlike(_HEADER_LINE) & (F.col("value") != ""))
+def parsed(lines: DataFrame, spark: SparkSession, header: Header) -> DataFrame:
+    """The alignments of lines (value, ord); header lines and empty ones are left out."""
+    lines = lines.where(~F.col("value").rlike(_HEADER_LINE) & (F.col("value") != ""))
     # get and try_cast: a filter may be evaluated before header lines are gone
     f = F.split("value", "\t")
     text = lambda k: F.get(f, F.lit(k))
@@ -82,7 +81,19 @@ def read_sam(spark: SparkSession, path: str, header: Header | None = None) -> tu
     lost = F.raise_error(F.concat(F.lit("Sequence '"), F.col("rname"), F.lit("' is not in the header"))).cast("int")
     tid = F.when(F.col("rname") == "*", F.lit(None).cast("int")).when(F.col("_tid").isNull(), lost).otherwise(F.col("_tid"))
     out = with_promoted_tags(joined.withColumn("tid", tid))
-    return out.select("ord", "qname", "flag", "tid", "rname", "pos0", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags", "md", "nm", "as_score"), header
+    return out.select("ord", "qname", "flag", "tid", "rname", "pos0", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags", "md", "nm", "as_score")
+
+
+def read_sam(spark: SparkSession, path: str, header: Header | None = None) -> tuple[DataFrame, Header]:
+    """(alignments, header), of plain or gzipped text (a gzipped file is one task's work). A record of a sequence that the header lacks is an error when it is read."""
+    header = header or read_header(spark, path)
+    return parsed(spark.read.text(path).select("value", input_order().alias("ord")), spark, header), header
+
+
+def first_records(spark: SparkSession, path: str, header: Header, n: int) -> DataFrame:
+    """The first n alignments; only as much of the file is read as holds them."""
+    lines = [r.value for r in spark.read.text(path).head(len(header.lines) + n)]
+    return parsed(spark.createDataFrame(list(enumerate(lines)), "ord bigint, value string"), spark, header)
 
 
 def record_line(row) -> str:

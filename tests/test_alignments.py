@@ -383,6 +383,73 @@ def test_bam_round_trip(read, spark, tmp_path, level):
     assert [tuple(r[c] for c in columns) for r in again.orderBy("ord").collect()] == [tuple(r[c] for c in columns) for r in rows]
 
 
+def _many(n, seed=3):
+    """Records of many lengths, some longer than a block."""
+    import random
+    from types import SimpleNamespace
+
+    rng = random.Random(seed)
+    for k in range(n):
+        size = rng.choice([0, 30, 150, 150, 150, 5000, 200_000 if k % 97 == 0 else 40])
+        seq = "".join(rng.choices("ACGT", k=size))
+        tid = rng.choice([None, 0, 1])
+        yield SimpleNamespace(qname=f"r{k}", flag=rng.choice([0, 4, 16]), tid=tid, rname="*" if tid is None else f"t{tid}", pos0=rng.randrange(1000), mapq=7, cigar=f"{size}M" if size else "*", rnext="*", pnext=0, tlen=0, seq=seq or "*", qual="*" if k % 2 else "I" * size or "*", tags=[f"NM:i:{k % 5}", "XZ:Z:x"])
+
+
+MANY = bam.Header(("@HD\tVN:1.6", "@SQ\tSN:t0\tLN:5000", "@SQ\tSN:t1\tLN:7000"), (("t0", 5000), ("t1", 7000)))
+
+
+@pytest.mark.parametrize(("split", "level"), [(1, 6), (20_000, 6), (70_000, 0), (1 << 30, 6)])
+def test_bam_splits_are_the_whole(tmp_path, split, level):
+    rows = list(_many(400))
+    path = tmp_path / "x.bam"
+    with path.open("wb") as f:
+        bam.write_bam(f, MANY, rows, level)
+    split = max(split, path.stat().st_size // 40) if split == 1 else split
+    reader = bam._Reader(str(path), split)
+    parts = reader.partitions()
+    assert (len(parts) > 1) == (split < path.stat().st_size)
+    got = [row for p in parts for batch in reader.read(p) for row in batch.to_pylist()]
+    assert [r["qname"] for r in got] == [r.qname for r in rows] and [r["seq"] for r in got] == [r.seq for r in rows]
+    order = [r["ord"] for r in got]
+    assert order == sorted(set(order))
+
+
+def test_damaged_bam(tmp_path):
+    packed = io.BytesIO()
+    bam.write_bam(packed, MANY, _many(50))
+    raw = bytearray(packed.getvalue())
+    raw[len(raw) // 2] ^= 255
+    (tmp_path / "x.bam").write_bytes(raw)
+    reader = bam._Reader(str(tmp_path / "x.bam"), 1 << 20)
+    with pytest.raises(Exception):  # noqa: B017
+        [list(reader.read(p)) for p in reader.partitions()]
+    (tmp_path / "y.bam").write_bytes(packed.getvalue()[:-40])
+    reader = bam._Reader(str(tmp_path / "y.bam"), 1 << 20)
+    with pytest.raises(ValueError, match="cut off"):
+        [list(reader.read(p)) for p in reader.partitions()]
+
+
+def test_bam_folders(spark, tmp_path):
+    rows = list(_many(60))
+    with (tmp_path / "x.bam").open("wb") as f:
+        bam.write_bam(f, MANY, rows)
+    df, header = bam.read_bam(spark, str(tmp_path / "x.bam"), 30_000)
+    out = tmp_path / "parts"
+    assert bam.write_folder(df.repartitionByRange(3, "ord").sortWithinPartitions("ord"), header, str(out)) == 60
+    assert sorted(p.name for p in out.iterdir() if not p.name.startswith(".")) == [f"part-0000{k}.bam" for k in range(3)]
+    again, header2 = commands.read(spark, str(out))
+    assert header2 == header and [r.qname for r in again.orderBy("ord").collect()] == [r.qname for r in rows]
+    with (out / "part-00009.bam").open("wb") as f:
+        bam.write_bam(f, bam.Header(("@SQ\tSN:u\tLN:5",), (("u", 5),)), [])
+    with pytest.raises(ValueError, match="other sequences"):
+        bam.read_bam(spark, str(out))
+    tmp_path_of_nothing = tmp_path / "none"
+    tmp_path_of_nothing.mkdir()
+    with pytest.raises(ValueError, match="no [*].bam"):
+        bam.read_bam(spark, str(tmp_path_of_nothing))
+
+
 def test_bam_tags():
     tags = ["XA:A:c", "XI:i:-5", "XU:i:4000000000", "XF:f:1.5", "XZ:Z:a b", "XH:H:1AFF", "XB:B:c,-1,2", "XE:B:f,0.5"]
     assert bam.decode_tags(b"".join(map(bam.encode_tag, tags))) == tags
@@ -469,3 +536,51 @@ def test_streaming_filter(spark, tmp_path, read):
     assert sum(batches) == 14
     with pytest.raises(ValueError):
         streams.filter_stream(stream, FilterOptions(besthit=True))
+
+
+def test_standard_input_and_gzipped_text(spark, tmp_path, capfdbinary, monkeypatch):
+    """filter -b ... | profile - as through a pipe; a gzipped SAM file; parts in a folder."""
+    import sys
+    from types import SimpleNamespace
+
+    path = samples.write(tmp_path, "filter")
+    assert cli.run(["filter", "-S", "-b", "-p", "90", path], spark) == 0
+    packed = capfdbinary.readouterr().out
+    direct, piped = str(tmp_path / "a.gz"), str(tmp_path / "b.gz")
+    (tmp_path / "f.bam").write_bytes(packed)
+    assert cli.run(["profile", "--label", "x", "-o", direct, str(tmp_path / "f.bam")], spark) == 0
+    monkeypatch.setattr(sys, "stdin", SimpleNamespace(buffer=io.BytesIO(packed)))
+    assert cli.run(["profile", "--label", "x", "-o", piped, "-"], spark) == 0
+    values = lambda p: [x for x in _lines(p) if not x.startswith("#")]
+    assert values(direct) == values(piped) and len(values(piped)) > 2
+    plain = open(path, "rb").read()
+    for data in (plain, gzip.compress(plain)):
+        capfdbinary.readouterr()
+        monkeypatch.setattr(sys, "stdin", SimpleNamespace(buffer=io.BytesIO(data)))
+        assert cli.run(["filter", "-S", "-p", "99", "-v", "-k", "-"], spark) == 0
+        assert [x.split(b"\t")[0] for x in capfdbinary.readouterr().out.split(b"\n")[:-1]] == [b"id97", b"id98", b"pairX", b"secondary98", b"supp98", b"unmapped"]
+    (tmp_path / "z.sam.gz").write_bytes(gzip.compress(plain))
+    df, _ = commands.read(spark, str(tmp_path / "z.sam.gz"))
+    assert df.count() == commands.read(spark, path)[0].count()
+    folder = str(tmp_path / "parts")
+    assert cli.run(["filter", "-S", "-b", "-p", "90", "-o", folder, path], spark) == 0
+    assert {r.qname for r in commands.read(spark, folder)[0].collect()} == {r[1] for r in bam.decode(gzip.open(io.BytesIO(packed)))}
+
+
+def test_first_records(spark, tmp_path):
+    path = samples.write(tmp_path, "reopened")
+    whole, header = commands.read(spark, path)
+    first = commands.first_records(spark, path, header)
+    assert [tuple(r)[1:] for r in first.orderBy("ord").collect()] == [tuple(r)[1:] for r in whole.orderBy("ord").collect()]
+    with pytest.raises(ValueError, match="reappears at record"):
+        qname.check_grouping(first, header)
+
+
+def test_a_chromosome_of_positions(spark):
+    """A target of 250 million positions: stretches, none longer than a piece; the sums are right."""
+    refs = spark.createDataFrame([(0, "chr", 250_000_000), (1, "none", 3), (2, "empty", 0)], "tid int, rname string, tlen bigint")
+    df = spark.createDataFrame([(0, 249_999_990, "20M"), (0, 1_048_570, "10M")], "tid int, pos0 bigint, cigar string")
+    got = coverage.positions(df, refs).groupBy("tid").agg(F.count("*").alias("n"), F.sum("depth").alias("d"), F.max("pos").alias("m"), F.sum("pos").alias("s"))
+    n = 250_000_000
+    assert {tuple(r) for r in got.collect()} == {(0, n, 20, n - 1, n * (n - 1) // 2), (1, 3, 0, 2, 3)}
+    assert {r.rname: r.touched for r in coverage.summary(df, refs).collect()} == {"chr": True, "none": False, "empty": False}

@@ -1,4 +1,5 @@
 import gzip
+import math
 import struct
 
 import pytest
@@ -63,10 +64,32 @@ def test_vectors(spark):
         matrix.first_word(F.lit(" two words")).alias("word"),
     ).first()
     assert r["add"] == [1.5, 2.5, 4.0] and r.half == [0.5, 1.0, 2.0] and r.mean == pytest.approx(7 / 3) and r.one == 0.0
-    assert r.kl == pytest.approx(0.5 * 0.6931471805599453 + 0.5 * -0.40546510810816444) and r.js == 0 and r.skip == pytest.approx(0.5 * -0.40546510810816444)
-    assert r.log == matrix.LEAST_DOUBLE and r.score == 0 and r["at"] == 1 and r.word == "two"
+    # zeros in both: 0 times the logarithm of 0 / 0
+    assert math.isnan(r.kl) and math.isnan(r.js) and math.isnan(r.skip)
+    assert r.log == matrix.LEAST_DOUBLE and r.score == 0 and r["at"] == 1 and r.word == ""
     with pytest.raises(Exception, match="negative"):
         d.select(matrix.decibel_score(x - 1)).collect()
+    assert d.select(matrix.decibel_score(x + 10)).first()[0] == pytest.approx(10 * math.log(10) / 0.301029995664, abs=1e-12)
+
+
+def test_divergences_at_zeros(spark):
+    d = spark.createDataFrame([(1, [0.5, 0.5], [0.25, 0.75]), (2, [0.5, 0.5], [1.0, 0.0]), (3, [1.0, 0.0], [0.5, 0.5])], "id int, p array<double>, q array<double>")
+    p, q = F.col("p"), F.col("q")
+    got = {r.id: (r.kl, r.js) for r in d.select("id", matrix.kl_divergence(p, q).alias("kl"), matrix.js_divergence(p, q).alias("js")).collect()}
+    assert got[1][0] == pytest.approx(0.5 * math.log(2) + 0.5 * math.log(2 / 3)) and got[1][1] > 0
+    assert got[2][0] == math.inf and math.isnan(got[2][1]) and math.isnan(got[3][0])
+    with pytest.raises(Exception, match="different lengths"):
+        d.select(matrix.kl_divergence(p, F.slice(q, 1, 1))).collect()
+    m = spark.createDataFrame([("x", "a", 0.0), ("x", "b", -1.0), ("x", "c", 1.0)], "i string, j string, v double")
+    logs = {r.j: r.v for r in matrix.log(m).collect()}
+    assert logs["a"] == -math.inf and math.isnan(logs["b"]) and logs["c"] == 0.0
+
+
+def test_words_and_powers(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(matrix.first_word(F.lit(x))) for x in ("a b", "a\tb c", "word", " lead", "")] == ["a", "a", "word", "", ""]
+    assert one(matrix.group_name(F.lit("abcdef"), 4)) == "abcd" and one(matrix.group_name(F.lit("abcd/wxyz"), 5)) == "abwxy"
+    assert one(matrix.power(F.lit(2), F.lit(-1))) == 0.5 and one(matrix.power(F.lit(2), F.lit(-1), "int")) == 0 and one(matrix.power(F.lit(3), F.lit(30), "bigint")) == 3**30
 
 
 def test_kmers_and_pairs(spark):
