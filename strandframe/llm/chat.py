@@ -86,7 +86,7 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("content"), attached.alias("attached"))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
     rows = rows.withColumn("line", F.concat(head, F.col("content"), F.lit(END))).withColumn("ahead", F.length(head))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "content")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", unescape(F.col("content")), "content")
     before = F.coalesce(F.sum(F.length("line")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("number", F.row_number().over(order)).withColumn("start", before + F.col("ahead"))
     one = F.struct("number", "line", "attached", F.when(F.col("role") == ASSISTANT, F.struct(F.col("start"), F.length("content").cast("long").alias("length"))).alias("span"))

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from strandframe.llm import common
 
 LEAST_BYTES = 1000
-SALTS = 16
 SKIPPABLE = 0x184D2A5D
 SAMPLE_RECORDS = 128
 SAMPLE_BYTES = 16_384
@@ -180,12 +179,20 @@ def decided(pages: DataFrame) -> DataFrame:
     payload = F.col("html").cast("binary")
     rows = rows.withColumn("digest", F.sha1(payload)).withColumn("n", F.octet_length("html"))
     shared = rows.where(F.col("n") >= LEAST_BYTES).groupBy("digest", "n").agg(F.max("page_id").alias("last"), F.count("*").alias("times")).where("times > 1")
-    shared = shared.select(F.col("digest").alias("_digest"), F.col("n").alias("_n"), "last", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    out = rows.withColumn("salt", salt).join(shared, (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")) & (F.col("salt") == F.col("_salt")), "left")
+    shared = common.stored(shared, "warc-shared")
+    # payloads of over a thousandth of all rows, so a thousand at most, are broadcast; their rows get keys of their own in the other join
+    hot = F.col("times") > max(common.HEAVY_ROWS, rows.count() / common.HEAVY_KEYS)
+    same = (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n"))
+    few = shared.where(hot).select(F.col("digest").alias("_digest"), F.col("n").alias("_n"), F.col("last").alias("_hot_last"), F.lit(True).alias("_hot"))
+    out = rows.join(F.broadcast(few), same, "left").drop("_digest", "_n")
+    key = F.when(F.col("_hot"), F.concat_ws(" ", F.lit("row"), "page_id", "url")).otherwise(F.col("digest"))
+    rest = shared.where(~hot).select(F.col("digest").alias("_digest"), F.col("n").alias("_n"), F.col("last").alias("_last"))
+    out = out.withColumn("_key", key).join(rest, (F.col("_key") == F.col("_digest")) & (F.col("n") == F.col("_n")), "left")
+    last = F.when(F.col("_hot"), F.col("_hot_last")).otherwise(F.col("_last"))
     # without a match both sides are null and the row is a response
-    revisit = F.coalesce(F.col("_digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.lit(False))
-    return out.select("page_id", "url", "html", "digest", F.when(revisit, F.col("last")).alias("refers_to"), revisit.alias("revisit"))
+    copied = F.coalesce("_hot", F.col("_digest").isNotNull())
+    revisit = F.coalesce(copied & ~F.col("page_id").eqNullSafe(last), F.lit(False))
+    return out.select("page_id", "url", "html", "digest", F.when(revisit, last).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
