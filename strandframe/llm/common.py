@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from contextlib import contextmanager
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +111,21 @@ def join_unique(big: DataFrame, small: DataFrame, on: str, how: str = "inner", c
     return heavy.unionByName(big.join(F.broadcast(keys), on, "left_anti").join(small, on, how))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = WIDE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows; when there are no more, the worker gives back the memory that it doesn't use."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    release()
+
+
+def release() -> None:
+    """Unused memory of this process back to the system, for the workers and the JVM beside it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a file:, hdfs:, s3: or gs: address or a plain path."""
     from pyarrow import fs

@@ -206,7 +206,7 @@ def keep_identified(docs: DataFrame, network: Network | None, least: float = 0.4
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(network) if network else None
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = batch.column(at).to_pylist()
             stays: list[bool] = []
             for a, b in in_slices([t or "" for t in texts]):

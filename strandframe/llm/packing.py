@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer, cache_entries)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
-        for batch in batches:
+        for batch in common.sliced(batches, max(1, slice_chars // 1000)):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             for a, b in tokens.in_slices(texts, slice_chars):
                 ids = pa.array([raw + end for raw in encoder.encode(texts[a:b])], pa.binary())

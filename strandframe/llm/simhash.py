@@ -371,7 +371,7 @@ def _banded(texts: DataFrame) -> DataFrame:
     """doc_id, vertex, size of the shingle set, keys."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = batch.column(2).to_pylist()
             for a, b in in_slices(texts):
                 sets = [shingle_set(t) for t in texts[a:b]]
@@ -385,7 +385,7 @@ def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
     """vertex and the shingle set of each needed vertex."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = batch.column(1).to_pylist()
             for a, b in in_slices(texts):
                 sets = [shingle_set(t).view(np.int64) for t in texts[a:b]]
@@ -442,6 +442,8 @@ def _met_in_blocks(members: DataFrame, sets: DataFrame, known: DataFrame) -> Dat
                 if (p := root(root_of[i])) != (q := root(root_of[b[j]])):
                     parent[q] = p
                     out.append((int(name[i]), int(name[b[j]])))
+        del sets, answers, code
+        common.release()
         return pd.DataFrame(out, columns=["u", "v"])
 
     share = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK).cast("int"))
