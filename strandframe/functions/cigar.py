@@ -92,13 +92,18 @@ def rescored() -> Column:
 
 
 def aligned_blocks() -> Column:
-    """(start, end) on the reference of each M, = or X run, from pos0."""
+    """(start, end) on the reference of each stretch from pos0 that no deletion or skip breaks; maybe empty ones."""
+    block = lambda start, end: F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
     ops = F.regexp_extract_all(F.col("cigar"), F.lit(r"\d+[MDN=X]"), F.lit(0))
-    start = F.struct(F.col("pos0").cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("blocks"))
+    pos = F.col("pos0").cast("bigint")
+    begin = F.struct(pos.alias("since"), pos.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("blocks"))
 
     def step(acc: Column, op: Column) -> Column:
         end = acc["at"] + F.left(op, F.length(op) - 1).cast("bigint")
-        block = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.right(op, F.lit(1)).isin("M", "=", "X"), F.concat(acc["blocks"], block)).otherwise(acc["blocks"]).alias("blocks"))
+        on = F.struct(acc["since"].alias("since"), end.alias("at"), acc["blocks"].alias("blocks"))
+        broken = F.struct(end.alias("since"), end.alias("at"), F.concat(acc["blocks"], F.array(block(acc["since"], acc["at"]))).alias("blocks"))
+        return F.when(F.right(op, F.lit(1)).isin("D", "N"), broken).otherwise(on)
 
-    return F.aggregate(ops, start, step)["blocks"]
+    several = F.aggregate(ops, begin, step, lambda acc: F.concat(acc["blocks"], F.array(block(acc["since"], acc["at"]))))
+    # most reads are one stretch
+    return F.when(F.col("cigar").rlike("[DN]"), several).otherwise(F.array(block(pos, pos + sum_ops("M=X"))))

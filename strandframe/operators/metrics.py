@@ -49,6 +49,16 @@ def seed_statistics(rows: DataFrame, by: list[str], column: str) -> DataFrame:
     return finite.groupBy(*by).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.coalesce(F.stddev_samp(column), F.lit(0.0)).alias("sd"))
 
 
+def source_counts(inserts: DataFrame, features: DataFrame) -> DataFrame:
+    """feature, value: inserts (source_assembly) of each feature (assembly, feature), 0 too, and of Unknown; an assembly without a feature is an error."""
+    drawn = inserts.groupBy(F.trim("source_assembly").alias("assembly")).agg(F.count("*").alias("n"))
+    lost = F.raise_error(F.concat(F.lit("Source assembly "), F.col("assembly"), F.lit(" has no feature"))).cast("string")
+    both = features.select("assembly", "feature").join(drawn, "assembly", "full")
+    named = both.select(F.when(F.col("feature").isNull(), lost).otherwise(F.col("feature")).alias("feature"), F.coalesce("n", F.lit(0)).alias("n"))
+    unknown = features.sparkSession.range(1).select(F.lit("Unknown").alias("feature"), F.lit(0).cast("bigint").alias("n"))
+    return named.unionByName(unknown).groupBy("feature").agg(F.sum("n").cast("double").alias("value"))
+
+
 def exact_recovery(truth: DataFrame, estimate: DataFrame) -> bool:
     """Whether both have the same features with the same values."""
     a, b = truth.select("feature", "value"), estimate.select("feature", "value")

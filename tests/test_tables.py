@@ -100,6 +100,15 @@ def test_kmers_and_pairs(spark):
     assert {(r.a, r.b): r.n for r in metrics.pair_counts(classes).collect()} == {(1, 2): 2, (1, 3): 2, (2, 3): 3}
 
 
+def test_source_counts(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("insert\tsource_assembly\n1\tA\n2\t A\n3\tB\n")
+    inserts = tables.read_tsv(spark, str(tmp_path / "m.tsv"), ["source_assembly"])
+    features = spark.createDataFrame([("A", "f"), ("B", "f"), ("C", "g")], "assembly string, feature string")
+    assert {tuple(r) for r in metrics.source_counts(inserts, features).collect()} == {("f", 3.0), ("g", 0.0), ("Unknown", 0.0)}
+    with pytest.raises(Exception, match="has no feature"):
+        metrics.source_counts(inserts, features.where("assembly <> 'B'")).collect()
+
+
 def test_without_training_data_operators(tmp_path):
     """The rest imports and registers its queries when the optional folder is gone."""
     import shutil
