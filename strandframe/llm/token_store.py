@@ -132,7 +132,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> D
         file = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.tids"
         out, at, last, times = None, 0, object(), 0
         try:
-            for batch in batches:
+            for batch in common.sliced(batches, 4 * common.WIDE_ROWS):
                 ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
                 for a, b in tokens.in_slices(texts, tokens.SLICE_CHARS):
                     rows = []

@@ -17,13 +17,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces a worker remembers, unless told otherwise; further pieces are encoded again each time they occur. An entry takes 150 bytes.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 #: Characters that are encoded at once, unless told otherwise.
 SLICE_CHARS = 4_000_000
 #: White space other than space and line feed, by either definition of white space.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Of these characters, letters, digits and white space are the same by any definition.
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Characters that are neither letters nor digits nor white space.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = re.compile(rf"[\n -~{_LETTER}]+").fullmatch
 #: The pre-tokens of byte-level BPE over those characters. Fixed values.
 _PRE_TOKENS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\s+(?!\S)|\s+").findall
@@ -84,6 +86,13 @@ class PieceEncoder:
         for p in pieces:
             if p.isalpha():
                 spaced[p] = None
+            elif (word := p.rstrip(_MARKS)).isalpha():  # the marks behind a word are one pre-token
+                tail = p[len(word) :]
+                heads[p], cut[p] = word, [tail]
+                if word not in known:
+                    spaced[word] = None
+                if tail not in known_bare:
+                    bare[tail] = None
             elif p and _PLAIN(p):
                 parts = cut[p] = _PRE_TOKENS(" " + p)
                 if first := parts[0][1:]:
