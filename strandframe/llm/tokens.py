@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces a worker remembers, unless told otherwise; further pieces are encoded again each time they occur. An entry takes 150 bytes.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 700_000
 #: Characters that are encoded at once, unless told otherwise.
 SLICE_CHARS = 4_000_000
 #: White space other than space and line feed, by either definition of white space.
