@@ -8,6 +8,7 @@ row, other white space than space and line feed, a special token's string) go to
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
@@ -50,6 +51,10 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         byte_level = '"type":"ByteLevel","add_prefix_space":false' in self.tokenizer.to_str().replace(" ", "").replace("\n", "")
         self.splits = byte_level and self.tokenizer.normalizer is None and self.tokenizer.post_processor is None
+        vocabulary = self.tokenizer.get_vocab()
+        #: By id: the token begins with a space, which byte-level vocabularies write as Ġ.
+        self.spaces = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.spaces[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
@@ -62,22 +67,24 @@ class PieceEncoder:
         )
 
     def _spaced(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each piece with the space before it, from one call; no piece is empty or begins with white space."""
-        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 1
-        starts = np.cumsum(lengths) - lengths
-        e = self.tokenizer.encode(" " + " ".join(pieces), add_special_tokens=False)
-        offsets = np.fromiter(itertools.chain.from_iterable(e.offsets), dtype=np.int64).reshape(-1, 2)
-        at = np.searchsorted(starts, offsets[:, 0], side="right") - 1
-        ends = (np.searchsorted(at, np.arange(len(pieces)), side="right") * self.dtype.itemsize).tolist()
-        raw = np.array(e.ids, dtype=self.dtype).tobytes()
-        return dict(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))))
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each piece, encoded with the space before it.
+        """Ids of each piece with the space before it, from one call; each piece is a word without white space.
+
+        The space goes to the first token of its word, and no other token begins with one.
+        """
+        e = self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0]
+        ids = np.array(e.ids, dtype=self.dtype)
+        begins = np.flatnonzero(self.spaces[ids]) * self.dtype.itemsize
+        if len(begins) != len(pieces):
+            raise ValueError(f"{len(pieces)} words were encoded as {len(begins)}")
+        raw, begins = ids.tobytes(), begins.tolist()
+        return dict(zip(pieces, map(raw.__getitem__, map(slice, begins, [*begins[1:], len(raw)]))))
+
+    def _learn(self, words: list[str], pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each word (letters alone) and each piece (anything), encoded with the space before it.
 
         A piece of plain characters is cut into its pre-tokens first, since most of those are known.
         """
-        spaced: dict[str, None] = {}
+        spaced: dict[str, None] = dict.fromkeys(words)
         bare: dict[str, None] = {}
         cut: dict[str, list[str]] = {}
         heads: dict[str, str] = {}  # what follows the space in a cut piece's first pre-token
@@ -126,6 +133,15 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes (16 bits each if the vocabulary allows, else 32)."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and each collection would walk the lists of pieces
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
         rows = []
         for k, text in enumerate(texts):
@@ -142,8 +158,10 @@ class PieceEncoder:
         coded = pieces.flatten().dictionary_encode()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.known.get, names))
-        if missing := [n for n, x in zip(names, ids) if x is None]:
-            fresh = self._learn(missing)
+        if None in ids:
+            lettered = pc.ascii_is_alpha(coded.dictionary).to_numpy(zero_copy_only=False).tolist()
+            words = [n for n, x, w in zip(names, ids, lettered) if x is None and w]
+            fresh = self._learn(words, [n for n, x, w in zip(names, ids, lettered) if x is None and not w])
             ids = [fresh[n] if x is None else x for n, x in zip(names, ids)]
         first = []  # the first piece of a text has no space before it
         for k in begins[:-1]:
@@ -151,9 +169,10 @@ class PieceEncoder:
             if p not in self.bare and len(self.bare) < self.entries // 4:
                 self.bare[p] = self._whole(p) if p else b""
             first.append(self.bare[p] if p in self.bare else self._whole(p))
-        codes, get = coded.indices.to_numpy(zero_copy_only=False), ids.__getitem__
-        for k, x, a, b in zip(rows, first, begins, begins[1:]):
-            out[k] = x + b"".join(map(get, codes[a + 1 : b].tolist()))
+        _, ends, raw = pa.array(ids, pa.large_binary()).take(coded.indices).buffers()
+        ends, raw = np.frombuffer(ends, np.int64), memoryview(raw)
+        for k, x, a, b in zip(rows, first, ends[begins[:-1] + 1].tolist(), ends[begins[1:]].tolist()):
+            out[k] = x + raw[a:b]
         return out
 
 
