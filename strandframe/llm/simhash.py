@@ -20,15 +20,20 @@ are rows of their own; a component's id is its smallest doc_id, null if all are
 gives an empty result; other columns are ignored.
 
 The pipeline's near copies (one_of_each) are another relation: texts whose sets of five-word shingles
-have a Jaccard of 0.8 at least, and what such links join. Fingerprint bits can't find those pairs: one
-replaced passage changes a seventh of all bits there, and the pigeonhole principle would then need
-partitions of five bits, which a thirty-second of all documents share. So candidates share one of BANDS
-keys of BAND_ROWS minima of permuted shingle hashes: a minimum is equal with a probability that is the
-Jaccard, whatever kind of edit made the difference and however many rows there are, so a pair at 0.8
-is missed with (1 - 0.8**BAND_ROWS)**BANDS, 3 in a million, and a more similar one less. Each
-candidate is decided by its two shingle sets. In a key's members each is compared with a leader first;
-pairs that are still in different components follow, in blocks of BLOCK shingles where there are more
-than HOT members. Texts without words are copies of each other.
+have a Jaccard of 0.8 at least, and what such links join. A pair at 0.8 differs in 15 % of all bits, too
+many for 64 bits and a distance that can't be missed. So there are LANES fingerprints of a set, cut into
+partitions of WIDTH bits; the dynamic programme probes all but the dearest, and pairs that differ in less
+bits than partitions are probed can't be missed. Beyond that distance a partition is equal with
+(1 - bits that differ)**WIDTH, whatever kind of edit made the difference and however many rows there
+are: a pair at 0.8 is missed with 4 in ten million for sets of many shingles, 9 in a million for the worst sizes
+(12 and 15), a more similar one less. What meets is checked on 64, then 256 other bits (LIKELY, LIKELIER: another 1 to 4
+in a million are lost there), and decided by the two shingle sets.
+
+Each is compared with a leader of its value in some partitions first; then values are met whole, but only
+pairs that are still in different components leave a task. Values with more than HOT members are
+compared with a leader, then in blocks of BLOCK shingles. Texts with equal 64 bits, and sets of less than FEW
+shingles (their bits are coarse) that are equal but for one shingle of each, which is all that the
+similarity allows there, meet by that. Texts without words are copies of each other.
 """
 
 from __future__ import annotations
@@ -57,8 +62,16 @@ BLOCK = 50_000
 #: Near copies: words of a shingle; a Jaccard of SHARED / PARTS.
 SHINGLE = 5
 SHARED, PARTS = 4, 5
-BAND_ROWS, BANDS = 5, 32
-PERMUTE = np.random.Generator(np.random.PCG64(42)).integers(0, 1 << 63, BAND_ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: 64-bit fingerprints that are checked and that are searched; bits of a partition; partitions probed, and those of them led first.
+CHECKED, LANES = 4, 121
+WIDTH, PROBED, LED = 20, 384, 32
+#: Differing bits of the first and of all checked fingerprints that a pair may have; a set of less than FEW shingles is few.
+LIKELY, LIKELIER = 25, 72
+FEW = 10
+#: Pairs for each text from which a group of likely pairs is compared in blocks.
+DENSE = 8
+#: Values are dealt out by at least so many of their leading bits, more for more than DEALT rows.
+PREFIX, DEALT = 4, 4_000_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -345,15 +358,40 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS keys, each of BAND_ROWS minima of the shingles under seeded permutations."""
-    low = np.full(len(PERMUTE), np.iinfo(np.uint64).max)
-    for k in range(0, len(shingles), 4096):
-        np.minimum(low, (PERMUTE[:, None] * shingles[None, k : k + 4096]).min(axis=1), out=low)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k, row in enumerate(low.reshape(BANDS, BAND_ROWS).T):
-        key = mix(key ^ row, 200 + k)
-    return key.view(np.int64)
+def _sum(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of numbers whose bits lie in planes, the lowest first; both have as many."""
+    carry, out = np.uint64(0), []
+    for p, q in zip(a, b):
+        either = p ^ q
+        out.append(either ^ carry)
+        carry = (p & q) | (either & carry)
+    return [*out, carry]
+
+
+def many_lanes(hashes: np.ndarray, count: int) -> np.ndarray:
+    """The same fingerprints as lanes, by adders on 64 bits at once."""
+    zero = np.zeros((1, count), dtype=np.uint64)
+    seeds = np.arange(100, 100 + count)[None, :]
+    total = [zero]
+    for k in range(0, len(hashes), 1024):
+        part = hashes[k : k + 1024]
+        x = mix(part[:, None], seeds)
+        x[:, 0] = part
+        planes = [x]
+        while (n := len(planes[0])) > 1:
+            if n % 2:
+                planes = [np.concatenate([p, zero]) for p in planes]
+            half = (n + 1) // 2
+            planes = _sum([p[:half] for p in planes], [p[half:] for p in planes])
+        most = max(len(total), len(planes))
+        total = _sum(total + [zero] * (most - len(total)), planes + [zero] * (most - len(planes)))
+    over, same = zero, ~zero
+    for i in range(len(total) - 1, -1, -1):
+        if len(hashes) // 2 >> i & 1:
+            same = same & total[i]
+        else:
+            over, same = over | (same & total[i]), same & ~total[i]
+    return over[0]
 
 
 def similar_sizes(a: str, b: str) -> Column:
@@ -367,18 +405,167 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("vertex", F.xxhash64("text"))
 
 
-def _banded(texts: DataFrame) -> DataFrame:
-    """doc_id, vertex, size of the shingle set, keys."""
+#: Names of the checked fingerprints; the first one names a vertex of the search.
+PRINTS = [f"p{k}" for k in range(CHECKED)]
+
+
+def _printed(texts: DataFrame) -> DataFrame:
+    """doc_id, vertex, size of the shingle set, checked fingerprints, the searched bits, keys of a small set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
             texts = batch.column(2).to_pylist()
             for a, b in in_slices(texts):
                 sets = [shingle_set(t) for t in texts[a:b]]
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([band_keys(s) for s in sets])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), keys], names=["doc_id", "vertex", "size", "keys"])
+                made = np.stack([many_lanes(s, CHECKED + LANES) for s in sets])
+                checked = [pa.array(made[:, k].astype(np.int64)) for k in range(CHECKED)]
+                bits = pa.array([row.tobytes() for row in made[:, CHECKED:].astype("<u8")], pa.binary())
+                few = pa.array([_less_one(s) if len(s) < FEW else [] for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *checked, bits, few], names=["doc_id", "vertex", "size", *PRINTS, "bits", "few"])
+
+    return texts.select("doc_id", "vertex", "text").mapInArrow(make, "doc_id long, vertex long, size long, " + ", ".join(f"{c} long" for c in PRINTS) + ", bits binary, few array<long>")
+
+
+def _less_one(shingles: np.ndarray) -> list[int]:
+    """A key of the set and of each set without one of its shingles."""
+    with np.errstate(over="ignore"):
+        each = mix(shingles, 300)
+        return np.unique(mix(np.concatenate([[each.sum()], each.sum() - each]), 301)).view(np.int64).tolist()
+
+
+def _values(bits: list[bytes]) -> np.ndarray:
+    """(rows, partitions): the value of each partition of WIDTH bits."""
+    each = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), 8 * LANES), axis=1, bitorder="little")
+    width = 64 * LANES // WIDTH * WIDTH
+    padded = np.zeros((len(bits), width // WIDTH, 32), dtype=np.uint8)
+    padded[:, :, :WIDTH] = each[:, :width].reshape(len(bits), -1, WIDTH)
+    return np.packbits(padded, axis=2, bitorder="little").view("<u4")[:, :, 0]
+
+
+def near_plan(sample: list[bytes], rows: int) -> list[int]:
+    """The partitions that are probed for values that are equal, PROBED of all, by the least cost.
+
+    Thresholds are 0 or -1 (not probed) and add up to distance - partitions + 1, for a distance of PROBED - 1 bits.
+    """
+    bits = np.unpackbits(np.frombuffer(b"".join(sample), dtype=np.uint8).reshape(len(sample), 8 * LANES), axis=1, bitorder="little")
+    total = 64 * LANES // WIDTH
+    costs = []
+    for i in range(total):
+        share, hot = expected(bits, list(range(i * WIDTH, (i + 1) * WIDTH)), 0, rows)
+        costs.append([0.0, rows + rows * rows * share[0] + 65 * hot * rows])
+    return [i for i, t in enumerate(allocate(costs, PROBED - 1 - total + 1)[1]) if t == 0]
+
 
-    return texts.select("doc_id", "vertex", "text").mapInArrow(make, "doc_id long, vertex long, size long, keys array<long>")
+def _meetings(vertices: DataFrame, probed: list[int], rows: int, lead: bool) -> DataFrame:
+    """Fingerprints (vertices: p0, size, bits, code) that share a value of a probed partition and are likely near copies.
+
+    lead: u and v, each fingerprint and the leader of its value. Otherwise u and v, those of different codes,
+    and key and u, the fingerprints of a value that more than HOT rows share.
+    """
+    hot, likely, split = HOT, LIKELY, PREFIX + max(0, rows // DEALT).bit_length()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1000):
+                batch = whole.slice(begin, 1000)
+                n = batch.num_rows
+                value = _values(batch.column(2).to_pylist())[:, probed].T.ravel()
+                part = np.repeat(np.array(probed, dtype=np.int64), n)
+                group = part << split | value >> (WIDTH - split)
+                order = np.argsort(group, kind="stable")
+                at = order % n
+                edges = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0, [True]]))
+                name, size = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+                size = np.floor(8 * np.log2(np.maximum(size, 1))).astype(np.uint8)
+                coded = np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False)[at])
+                code = batch.column(3).fill_null(0).to_numpy(zero_copy_only=False)[at[coded]]
+                starts = np.searchsorted(coded, edges)
+                place = (coded - edges[np.searchsorted(edges, coded, side="right") - 1]).astype("<u4")
+                columns = [pa.array(group[order][edges[:-1]]), *(_cut(x, edges) for x in ((value[order] & ((1 << WIDTH - split) - 1)).astype("<u2"), name[at], size[at])), _cut(place, starts), _cut(code, starts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["group", "value", "name", "size", "place", "code"])
+
+    def meet(table: pa.Table) -> pa.RecordBatch:
+        get = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t)
+        value, name, size, code = get("value", "<u2"), get("name", "<i8"), get("size", np.uint8).astype(np.int16), get("name", "<i8").copy()
+        counts = np.array([len(x) // 8 for x in table.column("name").to_pylist()])
+        coded = np.array([len(x) // 8 for x in table.column("code").to_pylist()])
+        code[get("place", "<u4") + np.repeat(np.cumsum(counts) - counts, coded)] = get("code", "<i8")
+        rank = mix(name, 302)
+        order = np.lexsort((rank, value))
+        value, name, size, code = value[order], name[order], size[order], code[order]
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        times = np.diff(np.concatenate([first, [len(value)]]))
+        run = np.repeat(np.arange(len(first)), times)
+        out = [np.empty((0, 2), dtype=np.int64)]
+
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            keep = (np.abs(size[i] - size[j]) <= 3) & (name[i] != name[j]) & (np.bitwise_count((name[i] ^ name[j]).view(np.uint64)) <= likely)
+            return keep if lead else keep & (code[i] != code[j])
+
+        keys, members = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        if lead:
+            i = np.arange(len(value))
+            j = first[run]
+            keep = near(i, j)
+            out.append(np.column_stack([name[i[keep]], name[j[keep]]]))
+        else:
+            several = np.logical_or.reduceat(code != code[first[run]], first)
+            whole = []
+            for k in np.flatnonzero((times > hot) & several):
+                every = np.arange(first[k], first[k] + times[k])
+                codes, of, often = np.unique(code[every], return_inverse=True, return_counts=True)
+                rest = every[of != np.argmax(often)]  # each pair of different codes has one of these
+                found, count = [], 0
+                for i in rest:
+                    if count > 4 * len(every):
+                        break
+                    j = every[near(np.full(len(every), i), every)]
+                    count += len(j)
+                    found.append(np.column_stack([np.minimum(name[i], name[j]), np.maximum(name[i], name[j])]))
+                if count > 4 * len(every):
+                    whole.append(every)
+                else:
+                    out += found
+            here = np.concatenate(whole) if whole else np.empty(0, dtype=np.int64)
+            keys = mix(table.column("group")[0].as_py() * (1 << 16) + value[here].astype(np.int64), 303).view(np.int64)
+            members = name[here]
+            alive, lag = np.flatnonzero((several & (times <= hot))[run]), 0
+            while len(alive):
+                lag += 1
+                alive = alive[alive + lag < len(value)]
+                alive = alive[run[alive] == run[alive + lag]]
+                keep = alive[near(alive, alive + lag)]
+                out.append(np.column_stack([np.minimum(name[keep], name[keep + lag]), np.maximum(name[keep], name[keep + lag])]))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        u = pa.array(np.concatenate([pairs[:, 0], members]))
+        v = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(members), pa.int64())])
+        key = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(keys)])
+        return pa.RecordBatch.from_arrays([u, v, key], names=["u", "v", "key"])
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group; the last group of a batch may go on in the next."""
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            group = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for a, b in zip(edges, edges[1:]):
+                if waiting and waiting[0].column(0)[0].as_py() != group[a]:
+                    yield meet(pa.Table.from_batches(waiting))
+                    waiting = []
+                if b > a:
+                    waiting.append(batch.slice(a, b - a))
+        if waiting:
+            yield meet(pa.Table.from_batches(waiting))
+        common.release()
+
+    dealt = vertices.select("p0", "size", "bits", "code").mapInArrow(deal, "group long, value binary, name binary, size binary, place binary, code binary")
+    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(groups, "u long, v long, key long").distinct()
+
+
+def _cut(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of the values between edges, as one binary each."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
 def _sets(texts: DataFrame, needed: DataFrame) -> DataFrame:
@@ -458,39 +645,85 @@ def _met_in_blocks(members: DataFrame, sets: DataFrame, known: DataFrame) -> Dat
     return both.applyInPandas(meet, "u long, v long").distinct()
 
 
+def _likely() -> Column:
+    """x and y may be near copies by their sizes and checked fingerprints."""
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PRINTS), F.lit(0))
+    return similar_sizes("x.size", "y.size") & ((differ <= LIKELIER) | (F.greatest("x.size", "y.size") < FEW))
+
+
 def near_links(vertices: DataFrame, texts: DataFrame) -> DataFrame:
-    """u, v: links between vertices (vertex, size, keys) that give the same components as all candidates that reach the similarity."""
-    every = common.stored(vertices.select("vertex", "size", F.explode("keys").alias("key")), "near-keys")
-    lead = every.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("vertex").alias("leader"), F.col("size").alias("leader_size"))).alias("l")).where("n > 1")
-    lead = common.stored(lead.select("key", "n", "l.*"), "near-lead")
-    members = common.stored(common.join_unique(every, lead, "key", counts=lead), "near-members")
-    common.discard(every)
-    sets = common.stored(_sets(texts, members.select("vertex").distinct()), "near-sets", batch=common.WIDE_ROWS)
-    pairs = common.stored(members.where(F.col("vertex") != F.col("leader")).where(similar_sizes("size", "leader_size")).select(F.col("vertex").alias("u"), F.col("leader").alias("v")).distinct(), "near-pairs")
+    """u, v: links between vertices (vertex, size, fingerprints, bits, few) that give the same components as all candidates that reach the similarity."""
+    rows = vertices.count()
+    sample = [r.bits for r in vertices.orderBy(F.xxhash64("vertex")).limit(SAMPLE // 4).select("bits").collect()]
+    probed = near_plan(sample, rows)
+    # first: each with the leader of its equal fingerprint, of its key if its set is small, and of its value in some partitions
+    alike = common.stored(vertices.groupBy("p0").agg(F.min("vertex").alias("leader"), F.count("*").alias("n")), "near-alike")
+    every = common.stored(vertices.select("vertex", F.explode("few").alias("key")), "near-few")
+    lead = common.stored(every.groupBy("key").agg(F.count("*").alias("n"), F.min("vertex").alias("leader")).where("n > 1"), "near-lead")
+    small = common.stored(common.join_unique(every, lead, "key", counts=lead), "near-small")
+    of_print = common.join_unique(vertices.select("vertex", "p0"), alike.where("n > 1"), "p0", counts=alike).select(F.col("vertex").alias("u"), F.col("leader").alias("v"))
+    led = common.stored(_meetings(vertices.withColumn("code", F.lit(None).cast("long")), probed[:LED], rows, True).select("u", "v"), "near-meetings")
+    named = led.join(alike.select(F.col("p0").alias("u"), F.col("leader").alias("a")), "u").select("a", "v")
+    named = common.join_unique(common.stored(named, "near-led-names"), alike.select(F.col("p0").alias("v"), F.col("leader").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = of_print.unionByName(small.select(F.col("vertex").alias("u"), F.col("leader").alias("v"))).unionByName(named)
+    pairs = common.stored(pairs.where("u <> v").distinct(), "near-pairs")
+    sets = common.stored(_sets(texts, pairs.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()), "near-sets", batch=common.WIDE_ROWS)
     led = common.stored(_verified(pairs, sets), "near-led")
+    common.discard(sets)
     roots = common.stored(components(led), "near-roots")
-    rooted = common.stored(members.join(roots, "vertex", "left").select("key", "vertex", "size", "n", "leader", F.coalesce("root", "vertex").alias("root")), "near-rooted")
+    # then: all that share a value, of different components. A fingerprint's code is the component of all its texts
+    prints = vertices.select("vertex", "size", *PRINTS)
+    rooted = common.stored(prints.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")), "near-rooted")
+    codes = rooted.groupBy("p0").agg(F.min("root").alias("code"), F.max("root").alias("other"))
+    linked = rooted.join(roots, "vertex", "left_semi").select("p0").distinct()
+    codes = common.stored(codes.where("code = other").join(linked, "p0", "left_semi").select("p0", "code"), "near-codes")
+    coded = common.join_unique(vertices.select("p0", "size", "bits"), codes, "p0", "left", counts=alike)
+    met = common.stored(_meetings(coded, probed, rows, False), "near-met-prints")
+    several_texts = alike.where("n > 1")
+    other = lambda c: several_texts.select(F.col("p0").alias(c), F.lit(True).alias(f"many_{c}"))
+    two = common.stored(met.where("v is not null").join(other("u"), "u", "left").join(other("v"), "v", "left").select("u", "v", F.coalesce("many_u", "many_v").alias("many")), "near-two")
+    keyed = two.where("many").select(F.xxhash64("u", "v").alias("key"), F.explode(F.array("u", "v")).alias("p0"))
+    keyed = keyed.unionByName(met.where("v is null").select("key", F.col("u").alias("p0"))).unionByName(several_texts.select(F.col("p0").alias("key"), "p0"))
+    keyed = common.stored(keyed.distinct(), "near-keyed")
+    columns = ["key", "vertex", "size", *PRINTS, "root"]
+    members = keyed.join(rooted, "p0").select(*columns).unionByName(small.select("key", "vertex").join(rooted, "vertex").select(*columns))
+    members = common.stored(members.distinct(), "near-members")
     # keys whose members aren't all of one component, with the component of their leader
-    several = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max(F.when(F.col("vertex") == F.col("leader"), F.col("root"))).alias("first")).where("a <> b").select("key", "first")
-    rooted = common.stored(common.join_unique(rooted, several, "key", counts=lead).select("key", "vertex", "size", "root", "n", (F.col("root") != F.col("first")).alias("apart")), "near-apart")
-    few = rooted.where(F.col("n") <= HOT)
+    several = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b"), F.min_by("root", "vertex").alias("first")).where("a <> b").select("key", "n", "first")
+    several = common.stored(several, "near-several")
+    apart = common.stored(common.join_unique(members, several, "key", counts=several).withColumn("apart", F.col("root") != F.col("first")), "near-apart")
+    few = apart.where(F.col("n") <= HOT)
     x, y = few.alias("x"), few.alias("y")
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.vertex") > F.col("y.vertex")) & (F.col("x.root") != F.col("y.root")))
-    more = more.where(similar_sizes("x.size", "y.size")).select(F.col("x.vertex").alias("u"), F.col("y.vertex").alias("v")).distinct()
+    x, y = rooted.alias("x"), rooted.alias("y")
+    single = two.where("many is null").join(x, F.col("u") == F.col("x.p0")).join(y, F.col("v") == F.col("y.p0")).where(F.col("x.root") != F.col("y.root"))
+    greater, lesser = F.greatest("x.vertex", "y.vertex").alias("u"), F.least("x.vertex", "y.vertex").alias("v")
+    more = more.where(_likely()).select(greater, lesser).unionByName(single.where(_likely()).select(greater, lesser)).distinct()
     tried = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    found = led.unionByName(_verified(common.stored(more.join(tried, ["u", "v"], "left_anti"), "near-more"), sets))
-    hot = rooted.where(F.col("n") > HOT)
+    more = common.stored(more.join(tried, ["u", "v"], "left_anti"), "near-more")
+    # pairs that are dense are compared in blocks too
+    groups = common.stored(components(more).join(rooted.select("vertex", "size", F.col("root").alias("was")), "vertex"), "near-groups")
+    pairs_of = more.join(groups.select(F.col("vertex").alias("u"), "root"), "u").groupBy("root").agg(F.count("*").alias("pairs"))
+    dense = groups.groupBy("root").agg(F.count("*").alias("n"), F.min_by("was", "vertex").alias("first")).join(pairs_of, "root").where(F.col("pairs") > DENSE * F.col("n"))
+    dense = common.stored(dense.select(F.col("root").alias("key"), "n", "first"), "near-dense")
+    held = common.stored(groups.withColumnRenamed("root", "key").join(dense, "key").select("key", "vertex", "size", F.col("was").alias("root"), (F.col("was") != F.col("first")).alias("apart")), "near-held")
+    more = common.stored(more.join(held.select(F.col("vertex").alias("u")), "u", "left_anti"), "near-sparse")
+    hot = common.stored(apart.where(F.col("n") > HOT).select("key", "vertex", "size", "root", "apart").unionByName(held), "near-hot")
+    several = several.select("key", "n").unionByName(dense.select("key", "n")).groupBy("key").agg(F.sum("n").alias("n"))
+    needed = more.select(F.explode(F.array("u", "v")).alias("vertex")).unionByName(hot.select("vertex")).distinct()
+    sets = common.stored(_sets(texts, needed), "near-more-sets", batch=common.WIDE_ROWS)
+    found = led.unionByName(_verified(more, sets))
     if hot.isEmpty():
         return found
-    return found.unionByName(common.stored(_met_in_blocks(hot, sets, lead), "near-met", batch=common.WIDE_ROWS))
+    return found.unionByName(common.stored(_met_in_blocks(hot, sets, several), "near-met", batch=common.WIDE_ROWS))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id, the smallest doc_id of the near copies, for each row."""
     with common.scratch(docs.sparkSession):
         texts = _texts(docs)
-        own = common.stored(_banded(texts), "near-banded", batch=common.WIDE_ROWS)
-        vertices = common.stored(own.groupBy("vertex").agg(F.min("doc_id").alias("least"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "near-vertices")
+        own = common.stored(_printed(texts), "near-printed", batch=common.WIDE_ROWS)
+        vertices = common.stored(own.groupBy("vertex").agg(F.min("doc_id").alias("least"), *[F.any_value(c).alias(c) for c in ("size", *PRINTS, "bits", "few")]), "near-vertices")
         found = _component_ids(own.select("doc_id", "vertex"), vertices, near_links(vertices, texts), "near-named")
         return common.stored(found.select("doc_id", "component_id"), "near-copies", outlives=True)
 

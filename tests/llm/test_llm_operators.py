@@ -738,6 +738,44 @@ def test_near_copies_are_exact_components(spark, monkeypatch, hot, block):
     assert got == want
 
 
+def test_searched_bits_are_simhash():
+    """All fingerprints are majorities of bits; pairs of less differing bits than partitions are probed share a value."""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 5, 300, 1025):
+        hashes = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        assert simhash.many_lanes(hashes, 6).tolist() == simhash.lanes(hashes, 6)
+    bits = rng.integers(0, 2, (512, 64 * simhash.LANES), dtype=np.uint8)
+    bits[:, [k * simhash.WIDTH + b for k in (3, 50, 386) for b in range(simhash.WIDTH)]] = 1  # values that all share
+    packed = lambda rows: [np.packbits(r, bitorder="little").tobytes() for r in rows]
+    probed = simhash.near_plan(packed(bits), 100_000)
+    assert len(probed) == simhash.PROBED and not {3, 50, 386} & set(probed)
+    for row in bits[:20]:
+        other = row.copy()
+        for k in rng.choice(probed, simhash.PROBED - 1, replace=False):  # one bit in each but one: the worst case
+            other[k * simhash.WIDTH + rng.integers(simhash.WIDTH)] ^= 1
+        a, b = simhash._values(packed([row, other]))[:, probed]
+        assert (a == b).sum() == 1
+
+
+def test_near_copies_come_through_the_partitions(spark, monkeypatch):
+    """The pairs are those that the probed partitions let meet, dense groups in blocks or not; sets of a few shingles too."""
+    rng = random.Random(13)
+    rows = []
+    for _ in range(60):
+        text = [f"w{rng.getrandbits(40):x}" for _ in range(300)]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(edited(rng, text, 25, "block")))]
+    for n in range(1, 14):
+        text = [f"w{rng.getrandbits(40):x}" for _ in range(n)]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([*text, "more"])), (len(rows) + 2, " ".join(["less", *text]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda: {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
+    want = exact_near_copies(rows)
+    monkeypatch.setattr(simhash, "DENSE", 0)
+    assert found() == want and all(want[k + 1] == k for k in range(0, 120, 2))
+    monkeypatch.setattr(simhash, "near_plan", lambda sample, rows: [0])
+    assert sum(v == k - 1 for k, v in found().items() if k < 120 and k % 2) < 30
+
+
 # WARC
 
 
