@@ -29,8 +29,8 @@ are: a pair at 0.8 is missed with 4 in ten million for sets of many shingles, 9
 (12 and 15), a more similar one less. What meets is checked on 64, then 256 other bits (LIKELY, LIKELIER: another 1 to 4
 in a million are lost there), and decided by the two shingle sets.
 
-Each is compared with a leader of its value in some partitions first; then values are met whole, but only
-pairs that are still in different components leave a task. Values with more than HOT members are
+Each is compared with some leaders of its values first. What likely pairs with leaders join is a family, and
+is compared whole, in blocks of shingles. Then values are met whole, but only pairs of different families leave a task. Values with more than HOT members are
 compared with a leader, then in blocks of BLOCK shingles. Texts with equal 64 bits, and sets of less than FEW
 shingles (their bits are coarse) that are equal but for one shingle of each, which is all that the
 similarity allows there, meet by that. Texts without words are copies of each other.
@@ -58,18 +58,20 @@ from strandframe.llm.tokens import in_slices
 SAMPLE = 2048
 HOT = 64
 #: Shingles of either side of a block.
-BLOCK = 50_000
+BLOCK = 500_000
 #: Near copies: words of a shingle; a Jaccard of SHARED / PARTS.
 SHINGLE = 5
 SHARED, PARTS = 4, 5
 #: 64-bit fingerprints that are checked and that are searched; bits of a partition; partitions probed, and those of them led first.
 CHECKED, LANES = 4, 121
 WIDTH, PROBED, LED = 20, 384, 32
+#: Leaders of a text that are compared with it at once.
+LEADERS = 2
 #: Differing bits of the first and of all checked fingerprints that a pair may have; a set of less than FEW shingles is few.
 LIKELY, LIKELIER = 25, 72
 FEW = 10
 #: Pairs for each text from which a group of likely pairs is compared in blocks.
-DENSE = 8
+DENSE = 1
 #: Values are dealt out by at least so many of their leading bits, more for more than DEALT rows.
 PREFIX, DEALT = 4, 4_000_000
 
@@ -459,7 +461,7 @@ def near_plan(sample: list[bytes], rows: int) -> list[int]:
 def _meetings(vertices: DataFrame, probed: list[int], rows: int, lead: bool) -> DataFrame:
     """Fingerprints (vertices: p0, size, bits, code) that share a value of a probed partition and are likely near copies.
 
-    lead: u and v, each fingerprint and the leader of its value. Otherwise u and v, those of different codes,
+    lead: u, v and key, each fingerprint, the leader of its value and that one's rank. Otherwise u and v, those of different codes,
     and key and u, the fingerprints of a value that more than HOT rows share.
     """
     hot, likely, split = HOT, LIKELY, PREFIX + max(0, rows // DEALT).bit_length()
@@ -539,7 +541,8 @@ def _meetings(vertices: DataFrame, probed: list[int], rows: int, lead: bool) ->
         pairs = np.unique(np.concatenate(out), axis=0)
         u = pa.array(np.concatenate([pairs[:, 0], members]))
         v = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(members), pa.int64())])
-        key = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(keys)])
+        ranks = pa.array((mix(pairs[:, 1], 302) >> np.uint64(1)).astype(np.int64)) if lead else pa.nulls(len(pairs), pa.int64())
+        key = pa.concat_arrays([ranks, pa.array(keys)])
         return pa.RecordBatch.from_arrays([u, v, key], names=["u", "v", "key"])
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -656,26 +659,41 @@ def near_links(vertices: DataFrame, texts: DataFrame) -> DataFrame:
     rows = vertices.count()
     sample = [r.bits for r in vertices.orderBy(F.xxhash64("vertex")).limit(SAMPLE // 4).select("bits").collect()]
     probed = near_plan(sample, rows)
-    # first: each with the leader of its equal fingerprint, of its key if its set is small, and of its value in some partitions
-    alike = common.stored(vertices.groupBy("p0").agg(F.min("vertex").alias("leader"), F.count("*").alias("n")), "near-alike")
+    # first: each with the leader of its equal fingerprint, of its key if its set is small, and with some leaders of its values
+    alike = vertices.groupBy("p0").agg(F.min("vertex").alias("leader"), F.count("*").alias("n"), F.min_by(F.struct("size", *PRINTS), "vertex").alias("prints"))
+    alike = common.stored(alike, "near-alike")
     every = common.stored(vertices.select("vertex", F.explode("few").alias("key")), "near-few")
     lead = common.stored(every.groupBy("key").agg(F.count("*").alias("n"), F.min("vertex").alias("leader")).where("n > 1"), "near-lead")
     small = common.stored(common.join_unique(every, lead, "key", counts=lead), "near-small")
     of_print = common.join_unique(vertices.select("vertex", "p0"), alike.where("n > 1"), "p0", counts=alike).select(F.col("vertex").alias("u"), F.col("leader").alias("v"))
-    led = common.stored(_meetings(vertices.withColumn("code", F.lit(None).cast("long")), probed[:LED], rows, True).select("u", "v"), "near-meetings")
-    named = led.join(alike.select(F.col("p0").alias("u"), F.col("leader").alias("a")), "u").select("a", "v")
-    named = common.join_unique(common.stored(named, "near-led-names"), alike.select(F.col("p0").alias("v"), F.col("leader").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = of_print.unionByName(small.select(F.col("vertex").alias("u"), F.col("leader").alias("v"))).unionByName(named)
+    led = common.stored(_meetings(vertices.withColumn("code", F.lit(None).cast("long")), probed[:LED], rows, True), "near-meetings")
+    named = led.join(alike.select(F.col("p0").alias("u"), F.col("leader").alias("a"), F.col("prints").alias("x")), "u").select("a", "x", "v", "key")
+    named = common.join_unique(common.stored(named, "near-led-names"), alike.select(F.col("p0").alias("v"), F.col("leader").alias("b"), F.col("prints").alias("y")), "v")
+    named = common.stored(named.where(_likely()).select(F.col("a").alias("u"), F.col("b").alias("v"), "key").distinct(), "near-led-likely")
+    highest = named.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("key", "v"))), 1, LEADERS).alias("of")).select("u", F.explode("of.v").alias("v"))
+    named = named.select("u", "v")
+    pairs = of_print.unionByName(small.select(F.col("vertex").alias("u"), F.col("leader").alias("v"))).unionByName(highest)
     pairs = common.stored(pairs.where("u <> v").distinct(), "near-pairs")
-    sets = common.stored(_sets(texts, pairs.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()), "near-sets", batch=common.WIDE_ROWS)
+    sets = common.stored(_sets(texts, pairs.unionByName(named).select(F.explode(F.array("u", "v")).alias("vertex")).distinct()), "near-sets", batch=common.WIDE_ROWS)
     led = common.stored(_verified(pairs, sets), "near-led")
+    # families, what likely pairs with leaders join, linked or not: each is compared whole, so no list of its pairs is made
+    families = common.stored(components(named.unionByName(led)).withColumnRenamed("root", "family"), "near-families")
+    kin = families.join(vertices.select("vertex", "size"), "vertex").join(components(led), "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    kin = common.stored(kin, "near-kin")
+    large = kin.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("first"))
+    large = common.stored(large.where("roots > 1 and n > 2").select(F.col("family").alias("key"), "n", "first"), "near-large")
+    kin = common.join_unique(kin.withColumnRenamed("family", "key"), large, "key", counts=large)
+    kin = common.stored(kin.select("key", "vertex", "size", "root", (F.col("root") != F.col("first")).alias("apart")), "near-compared")
+    if not kin.isEmpty():
+        led = common.stored(led.unionByName(_met_in_blocks(kin, sets, large.select("key", "n"))), "near-led-whole", batch=common.WIDE_ROWS)
     common.discard(sets)
     roots = common.stored(components(led), "near-roots")
-    # then: all that share a value, of different components. A fingerprint's code is the component of all its texts
+    # then: all that share a value, of different families. A fingerprint's code is the family of all its texts
     prints = vertices.select("vertex", "size", *PRINTS)
-    rooted = common.stored(prints.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")), "near-rooted")
-    codes = rooted.groupBy("p0").agg(F.min("root").alias("code"), F.max("root").alias("other"))
-    linked = rooted.join(roots, "vertex", "left_semi").select("p0").distinct()
+    rooted = prints.join(roots, "vertex", "left").join(families, "vertex", "left")
+    rooted = common.stored(rooted.withColumn("root", F.coalesce("root", "vertex")).withColumn("family", F.coalesce("family", "vertex")), "near-rooted")
+    codes = rooted.groupBy("p0").agg(F.min("family").alias("code"), F.max("family").alias("other"))
+    linked = rooted.join(families, "vertex", "left_semi").select("p0").distinct()
     codes = common.stored(codes.where("code = other").join(linked, "p0", "left_semi").select("p0", "code"), "near-codes")
     coded = common.join_unique(vertices.select("p0", "size", "bits"), codes, "p0", "left", counts=alike)
     met = common.stored(_meetings(coded, probed, rows, False), "near-met-prints")
@@ -685,7 +703,7 @@ def near_links(vertices: DataFrame, texts: DataFrame) -> DataFrame:
     keyed = two.where("many").select(F.xxhash64("u", "v").alias("key"), F.explode(F.array("u", "v")).alias("p0"))
     keyed = keyed.unionByName(met.where("v is null").select("key", F.col("u").alias("p0"))).unionByName(several_texts.select(F.col("p0").alias("key"), "p0"))
     keyed = common.stored(keyed.distinct(), "near-keyed")
-    columns = ["key", "vertex", "size", *PRINTS, "root"]
+    columns = ["key", "vertex", "size", *PRINTS, "root", "family"]
     members = keyed.join(rooted, "p0").select(*columns).unionByName(small.select("key", "vertex").join(rooted, "vertex").select(*columns))
     members = common.stored(members.distinct(), "near-members")
     # keys whose members aren't all of one component, with the component of their leader
@@ -694,9 +712,9 @@ def near_links(vertices: DataFrame, texts: DataFrame) -> DataFrame:
     apart = common.stored(common.join_unique(members, several, "key", counts=several).withColumn("apart", F.col("root") != F.col("first")), "near-apart")
     few = apart.where(F.col("n") <= HOT)
     x, y = few.alias("x"), few.alias("y")
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.vertex") > F.col("y.vertex")) & (F.col("x.root") != F.col("y.root")))
+    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.vertex") > F.col("y.vertex")) & (F.col("x.family") != F.col("y.family")))
     x, y = rooted.alias("x"), rooted.alias("y")
-    single = two.where("many is null").join(x, F.col("u") == F.col("x.p0")).join(y, F.col("v") == F.col("y.p0")).where(F.col("x.root") != F.col("y.root"))
+    single = two.where("many is null").join(x, F.col("u") == F.col("x.p0")).join(y, F.col("v") == F.col("y.p0")).where(F.col("x.family") != F.col("y.family"))
     greater, lesser = F.greatest("x.vertex", "y.vertex").alias("u"), F.least("x.vertex", "y.vertex").alias("v")
     more = more.where(_likely()).select(greater, lesser).unionByName(single.where(_likely()).select(greater, lesser)).distinct()
     tried = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))

@@ -776,6 +776,26 @@ def test_near_copies_come_through_the_partitions(spark, monkeypatch):
     assert sum(v == k - 1 for k, v in found().items() if k < 120 and k % 2) < 30
 
 
+def test_a_family_below_the_similarity_makes_no_pair_list(spark, monkeypatch):
+    """Many texts that are likely but seldom near copies are compared whole; what is written stays in proportion to them."""
+    rng = random.Random(17)
+    text = [f"w{rng.getrandbits(40):x}" for _ in range(300)]
+    rows = [(k, " ".join(edited(rng, text, rng.randint(2, 9), "scattered"))) for k in range(200)]
+    want = exact_near_copies(rows)
+    assert 20 < len(set(want.values())) < 190
+    stored, written = common.stored, Counter()
+
+    def counted(df, name, **options):
+        out = stored(df, name, **options)
+        written[name] = max(written[name], out.count())
+        return out
+
+    monkeypatch.setattr(common, "stored", counted)
+    monkeypatch.setattr(simhash, "BLOCK", 20_000)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert written["near-pairs"] <= 2 * len(rows) and written["near-met-prints"] <= len(rows) and written["near-more"] <= len(rows)
+
+
 # WARC
 
 
