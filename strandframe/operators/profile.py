@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,13 @@ UNITS = ("relative", "fpkm", "tpm", "abundance")
 MAX_STEPS = 19
 LEAST_DELTA = 1e-10
 SNAP = 1e-20
-#: Shared classes are iterated in the driver's memory up to so many (class, feature) pairs and features together, else as DataFrames.
+#: Shared classes are iterated in the driver's memory up to so many (class, feature) pairs and features together, else by the executors.
 DRIVER_PAIRS = 5_000_000
+#: The executors keep packed classes and get the abundances of up to so many features at each step; beyond, classes are joined with features.
+DRIVER_FEATURES = 10_000_000
+#: Pairs of packed classes for each task, where there are more than for a task on each core; about so many in a row, and so many rows in a batch.
+TASK_PAIRS, ROW_PAIRS, PACKED_ROWS = 20_000_000, 50_000, 16
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def by_prefix(value: str, names: tuple[str, ...], option: str) -> str:
@@ -123,13 +130,128 @@ def _checkpoint_folder(spark) -> None:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="strandframe-"))
 
 
-def proportional_shares(classes: DataFrame, features: int, driver_pairs: int = DRIVER_PAIRS, pairs: int | None = None) -> tuple[DataFrame, float, int]:
+def _abundances(spark, names: np.ndarray, a: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({"fid": pa.array(names, pa.int64()), "value": pa.array(a, pa.float64())}), "fid bigint, value double")
+
+
+def _numbers(column: pa.Array, dtype) -> np.ndarray:
+    """The numbers in the rows of a binary column, one after the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(memoryview(column.buffers()[2])[ends[0] : ends[-1]], dtype)
+
+
+def share_packed(classes: DataFrame, features: int, pairs: int) -> tuple[DataFrame, float, int]:
+    """As proportional_shares: the shared classes stay where they are, packed; features alone travel.
+
+    At each step a task gets all abundances and returns the gains of its classes' features, added per feature and cut
+    by ranges of features; a second task adds those of a range. So a step shuffles 8 bytes for each task and feature at most,
+    whatever the pairs.
+    """
+    spark = classes.sparkSession
+    sc = spark.sparkContext
+    parts = max(sc.defaultParallelism, -(-pairs // TASK_PAIRS))
+    few = classes.coalesce(parts)
+    own = F.sum(F.when(F.size("fids") == 1, F.col("n")).otherwise(0)).cast("double")
+    of_feature = few.select(F.explode("fids").alias("fid"), "fids", "n").groupBy("fid").agg(own.alias("own")).toArrow()
+    names, unique = np.asarray(of_feature.column("fid"), dtype=np.int64), np.asarray(of_feature.column("own"))
+    order = np.argsort(names)
+    names, unique = names[order], unique[order]
+    many = len(names)
+    cuts = np.linspace(0, many, parts + 1).astype(np.int64)
+    sent_names = sc.broadcast(names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column(0)
+                at = np.searchsorted(sent_names.value, np.asarray(lists.flatten())).astype(np.int32)
+                size, n = np.diff(np.asarray(lists.offsets)).astype(np.int32), np.asarray(batch.column(1), dtype=np.float64)
+                ends = np.cumsum(size, dtype=np.int64)
+                rows = np.flatnonzero(np.diff(ends // ROW_PAIRS, append=-1)) + 1
+                for i, k in zip((0, *rows[:-1]), rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at[ends[i] - size[i] : ends[k - 1]], size[i:k], n[i:k])], ["at", "size", "n"])
+
+    def sums(batch: pa.RecordBatch, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places and abundances of the pairs, sizes of the classes, and inserts and sums of the classes."""
+        at, size, n = (_numbers(batch.column(k), t) for k, t in enumerate((np.int32, np.int32, np.float64)))
+        met = a[at]
+        return at, met, size, n, np.add.reduceat(met, np.cumsum(size, dtype=np.int64) - size)
+
+    def gains_of(sent):
+        def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gain = None
+            for batch in batches:
+                if batch.num_rows:
+                    at, met, size, n, s = sums(batch, sent.value)
+                    if gain is None:
+                        gain = np.zeros(many)
+                    rate = np.divide(n, s, out=np.zeros(len(n)), where=s > 0)
+                    np.add.at(gain, at, np.repeat(rate, size) * met)
+            for k in range(parts if gain is not None else 0):
+                of_range = gain[cuts[k] : cuts[k + 1]]
+                some = np.flatnonzero(of_range)
+                if len(some):
+                    if 12 * len(some) < 8 * len(of_range):
+                        row = [some.astype(np.int32).tobytes(), of_range[some].tobytes()]
+                    else:
+                        row = [None, of_range.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["part", "at", "gain"])
+
+        return gains
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The gains of each range, from all tasks."""
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, at, gain in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                of_range = total.setdefault(k, np.zeros(cuts[k + 1] - cuts[k]))
+                of_range[np.frombuffer(at.as_buffer(), np.int32) if at.is_valid else slice(None)] += np.frombuffer(gain.as_buffer())
+        for k, of_range in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([of_range.tobytes()], pa.binary())], ["part", "gain"])
+
+    def lost_of(sent):
+        def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    *_, n, s = sums(batch, sent.value)
+                    yield pa.RecordBatch.from_arrays([pa.array([n[s <= 0].sum()], pa.float64())], ["lost"])
+
+        return lost
+
+    packed = few.where(F.size("fids") > 1).select("fids", "n").mapInArrow(pack, "at binary, size binary, n binary").persist()
+    before = spark.conf.get(ARROW_ROWS, None)
+    try:
+        packed.count()
+        spark.conf.set(ARROW_ROWS, str(PACKED_ROWS))  # for the long rows
+        a = unique
+        for step in range(1, MAX_STEPS + 1):
+            sent = sc.broadcast(a)
+            made = packed.mapInArrow(gains_of(sent), "part int, at binary, gain binary").repartition(parts, "part").mapInArrow(added, "part int, gain binary").toArrow()
+            new = unique.copy()
+            for k, gain in zip(made.column("part").to_pylist(), made.column("gain")):
+                new[cuts[k] : cuts[k + 1]] += np.frombuffer(gain.as_buffer())
+            sent.destroy()
+            new[new < SNAP] = 0
+            delta = float(((new - a) ** 2).sum()) / features
+            a = new
+            if delta < LEAST_DELTA:
+                break
+        sent = sc.broadcast(a)
+        purged = packed.mapInArrow(lost_of(sent), "lost double").agg(F.coalesce(F.sum("lost"), F.lit(0.0))).first()[0]
+        sent.destroy()
+    finally:
+        spark.conf.set(ARROW_ROWS, before) if before else spark.conf.unset(ARROW_ROWS)
+        packed.unpersist()
+        sent_names.destroy()
+    return _abundances(spark, names, a), purged, step
+
+
+def proportional_shares(classes: DataFrame, features: int, driver_pairs: int = DRIVER_PAIRS, pairs: int | None = None, driver_features: int = DRIVER_FEATURES) -> tuple[DataFrame, float, int]:
     """fid, value; purged inserts; steps. Iterates until the mean squared change is small or MAX_STEPS are done.
 
     pairs: (class, feature) pairs of the shared classes, if known.
     """
     spark = classes.sparkSession
-    schema = "fid bigint, value double"
     unique = unique_counts(classes)
     shared = classes.where(F.size("fids") > 1)
     if pairs is None:
@@ -144,9 +266,15 @@ def proportional_shares(classes: DataFrame, features: int, driver_pairs: int = D
         own = np.zeros(len(names))
         own[fid[many:]] = np.asarray(u.column("value"))
         a, purged, steps = share_in_memory(np.repeat(np.arange(t.num_rows), sizes), fid[:many], np.asarray(t.column("n"), dtype=np.float64), own, features)
-        import pandas as pd
+        return _abundances(spark, names, a), purged, steps
+    if features <= driver_features:
+        return share_packed(classes, features, pairs)
+    return share_joined(shared, unique, features)
+
 
-        return spark.createDataFrame(pd.DataFrame({"fid": names.astype(np.int64), "value": a}), schema), purged, steps
+def share_joined(shared: DataFrame, unique: DataFrame, features: int) -> tuple[DataFrame, float, int]:
+    """As proportional_shares, for any number of features; every step shuffles all pairs."""
+    spark = shared.sparkSession
     _checkpoint_folder(spark)
     exploded = shared.withColumn("cid", F.xxhash64("fids", F.lit(1))).withColumn("cid2", F.xxhash64("fids", F.lit(2))).select("cid", "cid2", "n", F.explode("fids").alias("fid")).checkpoint()
     base = unique.checkpoint()

@@ -207,6 +207,43 @@ def test_inserts_of_features_without_unique_ones_are_purged(spark):
         assert purged == 4 and {r.fid: r.value for r in a.collect() if r.value} == pytest.approx({3: 3.0})
 
 
+def some_classes(spark, n: int, features: int):
+    rows = spark.range(n).select(F.array_sort(F.array_distinct(F.array(*[F.xxhash64("id", F.lit(k)) % features for k in range(5)]))).alias("fids"))
+    return rows.groupBy("fids").agg(F.count("*").alias("n"))
+
+
+def test_three_ways_of_sharing_agree(spark, monkeypatch):
+    """Classes of one to five features, negative ids among them, some packed in rows of their own; 1001 to 1003 have no unique inserts."""
+    monkeypatch.setattr(profiles, "ROW_PAIRS", 3)
+    classes = some_classes(spark, 60, 8).unionByName(spark.createDataFrame([([1001, 1002], 5), ([1002, 1003], 2), ([3], 7), ([-4], 1), (list(range(-7, 8)), 2)], "fids array<bigint>, n bigint"))
+    made = [profiles.proportional_shares(classes, 20, **how) for how in ({}, {"driver_pairs": -1}, {"driver_pairs": -1, "driver_features": -1})]
+    (a, purged, steps), *others = [({r.fid: r.value for r in df.collect() if r.value}, purged, steps) for df, purged, steps in made]
+    assert purged >= 7 and a[-4] > 1
+    for b, lost, took in others:
+        assert b == pytest.approx(a, rel=1e-9) and (lost, took) == (purged, steps)
+
+
+def test_sharing_without_shared_classes(spark):
+    for rows in ([], [([5], 3)]):
+        a, purged, _ = profiles.proportional_shares(spark.createDataFrame(rows, "fids array<bigint>, n bigint"), 9, driver_pairs=-1)
+        assert {r.fid: r.value for r in a.collect()} == {f[0]: n for f, n in rows} and purged == 0
+
+
+def test_steps_of_sharing_dont_shuffle_the_pairs(spark):
+    """Beyond the driver's memory, too: what all steps shuffle together is less than the pairs are once, in 8 bytes each."""
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    classes = some_classes(spark, 40_000, 60).unionByName(spark.range(60).select(F.array("id").alias("fids"), (F.col("id") + 1).alias("n"))).persist()
+    pairs = classes.agg(F.sum(F.size("fids"))).first()[0]
+    before = written()
+    _, _, steps = profiles.proportional_shares(classes, 60, driver_pairs=-1)
+    assert pairs > 100_000 and steps > 5 and written() - before < 8 * pairs
+    classes.unpersist()
+
+
 def test_profile_sums(read):
     df, _, refs = read("profile")
     for multi in ("equal", "proportional"):
